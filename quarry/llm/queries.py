@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, fingerprint, language, lines, simhash
+from . import bpe, decontaminate, fingerprint, language, lines, lm, simhash
 from .store import crc_mod, table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -36,9 +36,14 @@ def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.removals(table(spark, sf_dir, "documents"))
 
 
+def op9_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lm.learn_and_score(table(spark, sf_dir, "documents"), crc_mod("doc_id", 10) != 0)
+    return scored.select("doc_id", (crc_mod("doc_id", 10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.with_edits(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op2_decontaminate, op3_bpe, op4_language, op6_lines, op10_fingerprint)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op2_decontaminate, op3_bpe, op4_language, op6_lines, op9_lm, op10_fingerprint)}
 ORACLES: dict[str, str] = {"op2_decontaminate": decontaminate.ORACLE}
