@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, fingerprint, language, lines, lm, pii, quality, simhash
+from . import bpe, decontaminate, fingerprint, language, lines, lm, pii, quality, secrets, simhash
 from .store import crc_mod, table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -42,6 +42,10 @@ def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.removals(table(spark, sf_dir, "documents"))
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digests(table(spark, sf_dir, "documents"), secrets.fit())
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return pii.digests(docs, pii.fit(docs))
@@ -56,5 +60,5 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.with_edits(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op2_decontaminate, op3_bpe, op4_language, op5_quality, op6_lines, op8_pii, op9_lm, op10_fingerprint)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op2_decontaminate, op3_bpe, op4_language, op5_quality, op6_lines, op7_secrets, op8_pii, op9_lm, op10_fingerprint)}
 ORACLES: dict[str, str] = {"op2_decontaminate": decontaminate.ORACLE}

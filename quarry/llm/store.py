@@ -14,6 +14,18 @@ from pyspark.sql import functions as F
 MAX_BROADCAST = 64 << 20
 
 
+#: Bytes of one Arrow batch: long texts otherwise make batches of any size.
+BATCH_BYTES = 8 << 20
+
+
+def tune(spark: SparkSession) -> None:
+    """Bound the session's Arrow batches by bytes, where they aren't bounded lower already."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key).rstrip("bB")
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -41,10 +53,11 @@ class Scratch:
         self.count = 0
         atexit.register(self.close)
 
-    def cut(self, df: DataFrame, tag: str) -> DataFrame:
+    def cut(self, df: DataFrame, tag: str, by: str | None = None) -> DataFrame:
+        """df, written and read back; a column ``by`` parts the files, so that a filter on it reads its files only."""
         path = f"{self.root}/{self.count:03d}-{tag}"
         self.count += 1
-        df.write.parquet(path)
+        (df.write.partitionBy(by) if by else df.write).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._quarry_path = path
         return out
