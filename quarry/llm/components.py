@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,7 +38,16 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     a hub's edges are never gathered: its minimum is pre-aggregated and joined back, which adaptive
     execution may split. Each round is a table in the shared folder.
     """
-    now = scratch.cut(edges.where("a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).distinct(), "edges")
+
+    def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # what a task's own edges connect becomes one star for each batch
+        for batch in batches:
+            a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+            root = ids[roots(len(ids), at[: len(a)], at[len(a) :])]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[ids != root]), pa.array(root[ids != root])], names=["v", "u"])
+
+    now = scratch.cut(edges.select("a", "b").mapInArrow(forest, "v long, u long").distinct(), "edges")
     before = None
     while True:
         state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first())
