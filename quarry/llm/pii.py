@@ -30,11 +30,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .store import tune
+
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
 SAMPLE, SAMPLE_CHARS = 4000, 20_000
 SLOTS = 1 << 12
 ROUNDS = 10
+#: Mean of the prior of the skip edges' weight for equal labels; few texts repeat a mention, so it counts.
+PRIOR = 5.0
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -181,7 +185,7 @@ class Field:
     def __init__(self):
         k = len(LABELS)
         self.unary = np.zeros((SLOTS, k))
-        self.pair = [np.zeros((k, k)), 5 * np.eye(k)]
+        self.pair = [np.zeros((k, k)), PRIOR * np.eye(k)]
 
     def scores(self, g: Graph) -> np.ndarray:
         out = np.zeros((g.n, len(LABELS)))
@@ -206,8 +210,9 @@ class Field:
             for kind in (0, 1):
                 a, b = g.pairs[kind].T
                 grads[1 + kind] += d[a].T @ gold[b] + gold[a].T @ d[b]
-            for w, x, q in zip([self.unary, *self.pair], grads, past):
-                x += decay * w
+            means = [0.0, 0.0, PRIOR * np.eye(k)]
+            for w, x, q, mean in zip([self.unary, *self.pair], grads, past, means):
+                x += decay * (w - mean)
                 q += x * x
                 w -= rate * x / np.sqrt(q)
 
@@ -289,6 +294,7 @@ def joined(spans: list[Span]) -> str:
 
 def spans(docs: DataFrame, field: Field | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, spans array<struct<kind, start, end, added>>) of every row."""
+    tune(docs.sparkSession)
     kind = dict(docs.dtypes)[id_col]
     shared = docs.sparkSession.sparkContext.broadcast(field)
     item = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("added", pa.bool_())])
@@ -307,6 +313,7 @@ def spans(docs: DataFrame, field: Field | None, id_col: str = "doc_id", text_col
 
 def digests(docs: DataFrame, field: Field | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_email, n_ip, n_card, n_phone, base_sha256, spans) of every row; the counts are the patterns'."""
+    tune(docs.sparkSession)
     kind = dict(docs.dtypes)[id_col]
     shared = docs.sparkSession.sparkContext.broadcast(field)
 
