@@ -110,6 +110,7 @@ def build(benchmark: DataFrame, n: int, item_col: str, text_col: str, max_bytes:
             yield pa.RecordBatch.from_arrays([pa.array([w for ws in found for w in ws], pa.binary()), pa.array([i for i, ws in zip(ids, found) for _ in ws], pa.string())], names=["window", "item"])
 
     spark = benchmark.sparkSession
+    store.tune(spark)
     rows = benchmark.select(F.col(item_col).cast("string"), text_col).mapInArrow(run, "window binary, item string").distinct()
     rows = store.Scratch(spark).cut(rows, "windows")
     size = rows.agg(F.coalesce(F.sum(F.length("window") + F.length("item") + 160), F.lit(0))).first()[0]

@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from .kernels import PIECE, U64, flat, mix, pieces, range_hash, rows_of
+from .store import tune
 
 #: Levels that are parsed at most; each makes phrases of about three symbols.
 LEVELS = 5
@@ -189,6 +190,7 @@ def _arrays(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fingerprint) of every row."""
+    tune(docs.sparkSession)
     kind = dict(docs.dtypes)[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,6 +214,7 @@ def with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     so that one shuffle of the texts is all, and no task needs the whole order.
     """
     spark = docs.sparkSession
+    tune(spark)
     kind = dict(docs.dtypes)[id_col]
     key = F.coalesce(F.col(id_col).cast("double"), F.lit(float("-inf")))
     parts, cuts = max(1, min(docs.count() // RANGE, 1 << 16)), []

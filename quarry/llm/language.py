@@ -172,6 +172,7 @@ def answers(model: Model, texts: pa.Array) -> tuple[list[str], np.ndarray]:
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, lang_pred, score) of every row."""
+    store.tune(docs.sparkSession)
     kind = dict(docs.dtypes)[id_col]
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -185,6 +186,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 def keep(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns, whose text is in some language: those not ``und``."""
+    store.tune(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 
