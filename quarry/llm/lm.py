@@ -2,7 +2,7 @@
 
 Tokens are the runs of bytes other than ASCII white space, A-Z folded, and one end per text.
 Every token of every learning text is counted; the counts (by 64-bit hash of the word) stay a
-table. The ``HEAD`` commonest words, a fixed number, go to all workers; the counts of the others
+table. The commonest words, at most ``HEAD``, go to all workers; the counts of the others
 are joined to the texts that use them.
 
 The model predicts the ``VOCAB`` commonest words, and one class for the rest, from two words
@@ -30,10 +30,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import U64, flat, lower_ascii, pieces, range_hash, rows_of, spans, sums
-from .store import Scratch
+from .store import Scratch, tune
 
 HEAD, VOCAB, SIZE = 1 << 18, 1024, 32
 SAMPLE, SAMPLE_CHARS = 1500, 20_000
+#: Tokens of one task that are counted together before they are sent, about.
+COUNTED = 1 << 22
 #: The end of a text, among the words' hashes.
 END = np.array([0x5E7D], U64)
 _FOLD = lower_ascii()
@@ -207,18 +209,38 @@ def count(docs: DataFrame, text_col: str) -> DataFrame:
     """(word, n): how often each token's hash occurs in all texts of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        size = 0
+
+        def counted() -> pa.RecordBatch:
+            word, n = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n.astype(np.int64))], names=["word", "n"])
+
         for batch in batches:
-            for _, _, b, o in pieces(*flat(batch.column(0)), 1 << 24):
-                got = [tokens(x, y)[0] for _, _, x, y in pieces(b, o)]
-                word, n = np.unique(np.concatenate(got), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n.astype(np.int64))], names=["word", "n"])
+            for _, _, b, o in pieces(*flat(batch.column(0))):
+                held.append(tokens(b, o)[0])
+                size += len(held[-1])
+                if size > COUNTED:
+                    yield counted()
+                    held, size = [], 0
+        if held:
+            yield counted()
 
     return docs.select(text_col).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def fit(docs: DataFrame, learn: Column, counts: DataFrame, id_col: str = "doc_id", text_col: str = "text", head: int = HEAD, vocab: int = VOCAB, sample: int = SAMPLE, sample_chars: int = SAMPLE_CHARS) -> Frozen:
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    top = counts.orderBy(F.desc("n"), "word").limit(head).toArrow()
+    # the head is cut by classes of counts, so that no task sorts candidates of all others
+    level = F.floor(F.log2("n") * 64).cast("int")
+    below = None
+    taken = 0
+    for r in sorted(counts.groupBy(level.alias("level")).count().collect(), key=lambda r: -r["level"]):
+        taken += r["count"]
+        if taken > head:
+            break
+        below = r["level"]
+    top = counts.where(level >= below if below is not None else F.lit(False)).toArrow()
     keys, n = top.column("word").to_numpy().view(U64), top.column("n").to_numpy()
     order = np.lexsort((keys.view(np.int64), -n))
     keys, n = keys[order], n[order]
@@ -287,6 +309,7 @@ def score(docs: DataFrame, frozen: Frozen, counts: DataFrame, scratch: Scratch,
 
 def learn_and_score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``score`` of every row, by counts and a model of the rows for which ``learn`` holds."""
+    tune(docs.sparkSession)
     scratch = Scratch(docs.sparkSession)
     counts = scratch.cut(count(docs.where(learn), text_col), "counts")
     return score(docs, fit(docs, learn, counts, id_col, text_col, **options), counts, scratch, id_col, text_col)
