@@ -1,7 +1,8 @@
 """Near-duplicate detection: SimHash fingerprints, bit-sampling tables, verified distances.
 
 A text's fingerprint has ``BITS`` bits: each is the majority of that bit over the hashes of its
-distinct words (ASCII letters folded; letters, digits and non-ASCII characters). Texts are
+distinct words (ASCII letters folded; letters, digits and non-ASCII characters), each weighted by
+one more than the logarithm of its number in the text. Texts are
 linked if their fingerprints differ in at most ``MAX_DISTANCE`` bits. Equal texts, and then equal
 fingerprints, are one node each before anything is compared, so copies cost nothing.
 
@@ -36,7 +37,7 @@ from .kernels import U64, flat, lower_ascii, mix, pieces, range_hash, rows_of, s
 from .store import Scratch, tune
 
 BITS = 256
-MAX_DISTANCE = 44
+MAX_DISTANCE = 40
 #: Share of differing bits at which a pair is still found with probability RECALL.
 DESIGN, RECALL = 0.15, 0.98
 CAP = 4096
@@ -64,7 +65,10 @@ def fingerprints(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
     h = np.concatenate([range_hash(low, s, e), range_hash(buf, offs[bare], offs[bare + 1])])
     bits = 21  # the text's number; the other 43 are the word's
     key = np.sort(doc << U64(64 - bits) | h >> U64(bits))
-    key = key[np.concatenate([[True], key[1:] != key[:-1]])] if len(key) else key
+    head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    times = np.diff(np.append(head, len(key)))
+    # a word counts once, and once more for each doubling of its number in the text
+    key = np.repeat(key[head], np.log2(times).astype(np.int64) + 1)
     doc = (key >> U64(64 - bits)).astype(np.int64)
     h = mix(key << U64(bits))
     at = np.searchsorted(doc, np.arange(n + 1)).tolist()
