@@ -329,13 +329,15 @@ def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_di
     first = F.struct(F.col("id").isNull().alias("last"), F.col("id").alias("id"), F.hex("digest").alias("digest"))
     heads = rows.join(nodes, "node").groupBy("component").agg(F.min(first).alias("head"))
     heads = heads.select(F.col("head.id").alias("head_id"), F.col("head.digest").alias("head_digest"))
-    # Most rows stay: what goes is found by ids alone, and only rows that share an id and a text are told apart further.
-    tagged = with_digest(docs, text_col, "row_digest")
-    joined = tagged.join(heads, F.col(id_col).eqNullSafe(F.col("head_id")) & (F.col("row_digest") == F.col("head_digest")), "left_semi")
-    again = rows.groupBy("id", "digest").count().where("count > 1").select("id", F.hex("digest").alias("digest"))
-    if not again.head(1):
-        return joined.drop("row_digest")
-    return joined.dropDuplicates([id_col, "row_digest"]).drop("row_digest")
+    # the rows' own columns go by other names meanwhile, so that no name of theirs can clash
+    names = docs.columns
+    safe = [f"c{i}" for i in range(len(names))]
+    key = safe[names.index(id_col)]
+    tagged = with_digest(docs.toDF(*safe), safe[names.index(text_col)], "row_digest")
+    kept = tagged.join(heads, F.col(key).eqNullSafe(F.col("head_id")) & (F.col("row_digest") == F.col("head_digest")), "left_semi")
+    if rows.groupBy("id", "digest").count().where("count > 1").head(1):
+        kept = kept.dropDuplicates([key, "row_digest"])
+    return kept.drop("row_digest").toDF(*names)
 
 
 def with_digest(docs: DataFrame, text_col: str, name: str) -> DataFrame:

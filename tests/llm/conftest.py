@@ -42,8 +42,8 @@ def docs(spark, made):
     """The made texts; repeated and null ids, and columns with names that operators use themselves."""
     rows = [(i, t, "en", "s", len(t or "")) for i, t in made]
     rows += [rows[3], rows[3], (None, "no id here at all", None, None, None), (None, None, None, None, None), (5, "one more text of the id five", "en", "s", 3)]
-    clash = [(*r, "keep me", 1, 2.0) for r in rows]
-    return spark.createDataFrame(clash, SCHEMA + ", id string, node int, score double").repartition(3).persist()
+    clash = [(*r, "keep me", 1, 2.0, "x", "y") for r in rows]
+    return spark.createDataFrame(clash, SCHEMA + ", id string, node int, score double, row_digest string, head_id string").repartition(3).persist()
 
 
 @pytest.fixture(scope="session")
