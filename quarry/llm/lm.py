@@ -120,7 +120,7 @@ class Model:
     def vectors(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
         return self.context[one] @ self.place[0] + self.context[two] @ self.place[1]
 
-    def fit(self, one: np.ndarray, two: np.ndarray, word: np.ndarray, epochs: int = 2, batch: int = 4096, noise: int = 256, rate: float = 0.05, seed: int = 9) -> None:
+    def fit(self, one: np.ndarray, two: np.ndarray, word: np.ndarray, epochs: int = 2, batch: int = 2048, noise: int = 128, rate: float = 0.05, seed: int = 9) -> None:
         """Noise-contrastive estimation by AdaGrad; each batch shares its noise words."""
         rng = np.random.default_rng(seed)
         params = [self.context, self.target, self.bias, self.place]
