@@ -21,6 +21,7 @@ field adds nothing. Only the named columns are read.
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -125,6 +126,14 @@ class Mention:
             if len(d) >= 7:
                 self.keys.append(f"~{d[-7:]}")
 
+    @classmethod
+    def of(cls, features: list[int], keys: list[str]) -> Mention:
+        """A mention without its place."""
+        out = cls.__new__(cls)
+        out.start = out.end = 0
+        out.features, out.keys = features, keys
+        return out
+
 
 def mentions(text: str) -> list[Mention]:
     """The field's nodes, in the order of the text; none overlap."""
@@ -254,10 +263,22 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample:
     pool = docs.where(F.col(text_col).rlike("[0-9@]"))
     share = min(1.0, 2 * sample / max(pool.count(), 1))
     hash_ = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(8)), F.lit(1 << 30))
-    got = pool.where((F.length(text_col) <= sample_chars) & (hash_ < share * (1 << 30))).select(hash_.alias("h"), F.col(text_col).alias("text")).dropDuplicates(["h"]).collect()
-    texts = [r["text"] for r in sorted(got, key=lambda r: (r["h"], r["text"]))[:sample]]
-    nodes = [mentions(t) for t in texts]
-    label = np.array([x for t, n in zip(texts, nodes) for x in gold(t, n)], np.int64)
+    few = pool.where((F.length(text_col) <= sample_chars) & (hash_ < share * (1 << 30))).select(hash_.alias("h"), F.col(text_col).alias("text")).dropDuplicates(["h"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # features travel, not texts
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            packs = []
+            for t in texts:
+                nodes = mentions(t)
+                packs.append(json.dumps([[[m.features, m.keys] for m in nodes], gold(t, nodes)]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packs, pa.string())], names=["h", "pack"])
+
+    got = sorted(few.mapInArrow(run, "h long, pack string").collect(), key=lambda r: (r["h"], r["pack"]))[:sample]
+    packs = [json.loads(r["pack"]) for r in got]
+    nodes = [[Mention.of(*m) for m in p[0]] for p in packs]
+    label = np.array([x for p in packs for x in p[1]], np.int64)
     if not len(label):
         return None
     field = Field()
