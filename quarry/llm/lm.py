@@ -5,14 +5,18 @@ Every token of every learning text is counted; the counts (by 64-bit hash of the
 table. The commonest words, at most ``HEAD``, go to all workers; the counts of the others
 are joined to the texts that use them.
 
-The model predicts the ``VOCAB`` commonest words, and one class for the rest, from two words
-before: the context's vector is the sum of their vectors, each through its position's matrix; a
-word's score is its vector's product with that, plus its bias. Biases start at the counted
-log-frequencies, the noise is the counted distribution, and fitting draws on a bounded sample of
-learning texts (``SAMPLE`` of at most ``SAMPLE_CHARS`` characters, chosen by a hash of their ids).
-Scores are normalised exactly: batched matrix products give the sum over the vocabulary for each
-distinct context of a batch. A word of the rest has the rest's probability times its own smoothed
-share of it, so the probabilities of all words, one unseen among them, add up to 1.
+The model predicts the commonest words, as many as the square root of the learning tokens (at least
+``VOCAB``), and one class for the rest, from two words before: the context's vector is the sum of
+their vectors, each through its position's matrix. The words are in classes of about equal mass, by
+frequency, as many as the square root of the words; a class's score is its vector's product with the
+context's, plus its bias, and so is a word's score within its class. Biases start at the counted
+log-frequencies, the noise is the counted distribution. Scores are normalised exactly, over the
+classes and within the word's class. A word of the rest has the rest's probability times its own
+smoothed share of it, so the probabilities of all words, one unseen among them, add up to 1.
+
+Every learning text is fitted on, whole, once: trainers, one for ``TRAINED`` tokens and at most
+``TRAINERS`` for each core, start alike and each pass over their own texts; the mean of their
+parameters, each row weighted by the updates that it had, is the model.
 
 Defined results: a null text reads as the empty text, which is an end only; texts of any length
 are scored whole; without learning texts all words are unseen and all contexts alike; equal rows
@@ -21,6 +25,8 @@ are scored alike and kept apart. Only the named columns are read.
 
 from __future__ import annotations
 
+import copy
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +39,9 @@ from .kernels import U64, flat, lower_ascii, pieces, range_hash, rows_of, spans,
 from .store import Scratch, tune
 
 HEAD, VOCAB, SIZE = 1 << 18, 1024, 32
-SAMPLE, SAMPLE_CHARS = 1500, 20_000
+TRAINED, TRAINERS = 1 << 21, 4
+#: Rows of parameters that are averaged together.
+AVERAGED = 1 << 12
 #: Tokens of one task that are counted together before they are sent, about.
 COUNTED = 1 << 22
 #: The end of a text, among the words' hashes.
@@ -102,7 +110,7 @@ class Head:
 
 
 class Model:
-    """Vectors of the context (the vocabulary, the rest, before the text) and of the predicted words."""
+    """Vectors of the context (the vocabulary, the rest, before the text), of the classes and of the words in them."""
 
     def __init__(self, counts: np.ndarray, total: float, distinct: int, seed: int = 9):
         rng = np.random.default_rng(seed)
@@ -112,75 +120,137 @@ class Model:
         self.rest_mass = total - seen + 0.1 * (distinct - v + 1)
         share = np.append(counts.astype(np.float64), self.rest_mass)
         self.noise = share / share.sum()
-        self.bias = np.log(np.maximum(self.noise, 1e-12)).astype(np.float32)
+        # classes are runs of words by frequency, the rest is one of its own
+        before = np.cumsum(self.noise[:v]) - self.noise[:v]
+        k = max(1, int(np.ceil(np.sqrt(v))))
+        run = np.unique(np.minimum(before / max(self.noise[:v].sum(), 1e-300) * k, k - 1).astype(np.int64), return_inverse=True)[1]
+        self.of = np.append(run, run.max() + 1 if v else 0).astype(np.int32)
+        self.first = np.searchsorted(self.of, np.arange(self.of[-1] + 2))
+        self.class_noise = np.add.reduceat(self.noise, self.first[:-1])
+        inside = np.maximum(self.noise / self.class_noise[self.of], 1e-12)
+        self.class_bias = np.log(np.maximum(self.class_noise, 1e-12)).astype(np.float32)
+        self.bias = np.log(inside).astype(np.float32)
         self.context = (rng.standard_normal((v + 2, SIZE)) * 0.1).astype(np.float32)
         self.target = np.zeros((v + 1, SIZE), np.float32)
+        self.classes = np.zeros((len(self.class_noise), SIZE), np.float32)
         self.place = np.stack([np.eye(SIZE, dtype=np.float32)] * 2)
 
+    def table(self) -> np.ndarray:
+        """All parameters, a row each: a vector and its bias."""
+        none = np.zeros(len(self.context) + 2 * SIZE, np.float32)
+        return np.column_stack([np.concatenate([self.target, self.classes, self.context, *self.place]), np.concatenate([self.bias, self.class_bias, none])])
+
+    def load(self, table: np.ndarray) -> None:
+        a, b = len(self.target), len(self.target) + len(self.classes)
+        c = b + len(self.context)
+        t = table.astype(np.float32)
+        self.target, self.bias = t[:a, :-1].copy(), t[:a, -1].copy()
+        self.classes, self.class_bias = t[a:b, :-1].copy(), t[a:b, -1].copy()
+        self.context, self.place = t[b:c, :-1].copy(), t[c:, :-1].reshape(2, SIZE, SIZE).copy()
+
     def vectors(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
         return self.context[one] @ self.place[0] + self.context[two] @ self.place[1]
 
-    def fit(self, one: np.ndarray, two: np.ndarray, word: np.ndarray, epochs: int = 2, batch: int = 2048, noise: int = 128, rate: float = 0.05, seed: int = 9) -> None:
-        """Noise-contrastive estimation by AdaGrad; each batch shares its noise words."""
+    def fit(self, one: np.ndarray, two: np.ndarray, word: np.ndarray, epochs: int = 1, batch: int = 4096, noise: int = 64, rate: float = 0.05, seed: int = 9, past: dict | None = None) -> dict:
+        """Noise-contrastive estimation by AdaGrad; each batch shares its noise classes, and each class its noise words. Returns AdaGrad's sums and each row's updates, to go on with."""
         rng = np.random.default_rng(seed)
-        params = [self.context, self.target, self.bias, self.place]
-        past = [np.full_like(p, 1e-6) for p in params]
-        log_noise = np.log(self.noise).astype(np.float32)
-        cum = np.cumsum(self.noise)
-
-        def step(k: int, grad: np.ndarray, rows: np.ndarray | None = None) -> None:
-            if rows is None:
-                past[k] += grad * grad
-                params[k] -= rate * grad / np.sqrt(past[k])
-            else:
-                past[k][rows] += grad * grad
-                params[k][rows] -= rate * grad / np.sqrt(past[k][rows])
-
-        def scatter(n: int, at: np.ndarray, grad: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            rows, where = np.unique(at, return_inverse=True)
-            order = np.argsort(where, kind="stable")
-            return rows, np.add.reduceat(grad[order], np.searchsorted(where[order], np.arange(len(rows))), axis=0)
+        names = ("target", "bias", "classes", "class_bias", "context", "place")
+        if past is None:
+            past = {k: np.full_like(getattr(self, k), 1e-6) for k in names} | {"uses": np.zeros(len(self.target) + len(self.classes) + len(self.context) + 2 * SIZE, np.float32)}
+        at_class = len(self.target)
+        at_context = at_class + len(self.classes)
+        uses = past["uses"]
+        log_class, log_word = np.log(np.maximum(self.class_noise, 1e-12)).astype(np.float32), np.log(np.maximum(self.noise / self.class_noise[self.of], 1e-12)).astype(np.float32)
+        cum_class, cum_word = np.cumsum(self.class_noise), np.append(0, np.cumsum(self.noise))
+        size = np.diff(self.first)
+
+        def step(k: str, grad: np.ndarray, rows: np.ndarray | slice = slice(None)) -> None:
+            param, p = getattr(self, k), past[k]
+            p[rows] += grad * grad
+            param[rows] -= rate * grad / np.sqrt(p[rows])
+
+        def scatter(at: np.ndarray, grad: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            order = np.argsort(at, kind="stable")
+            at = at[order]
+            starts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+            return at[starts], np.add.reduceat(grad[order], starts, axis=0)
+
+        def contrast(h: np.ndarray, vec: np.ndarray, bias: np.ndarray, log: np.ndarray, w: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """Gradients of the context's vectors, of vec and of bias; words w, noise x."""
+            less = log + np.float32(np.log(len(x)))
+            s = np.einsum("ij,ij->i", h, vec[w]) + (bias - less)[w]
+            t = h @ vec[x].T + (bias - less)[x]
+            gs = -1 / (1 + np.exp(s))
+            gt = 1 / (1 + np.exp(-t))
+            gh = gs[:, None] * vec[w] + gt @ vec[x]
+            rows, g = scatter(np.concatenate([w, x]), np.column_stack([np.concatenate([gs[:, None] * h, gt.T @ h]), np.concatenate([gs, gt.sum(0)])]))
+            return gh, rows, g
 
         for _ in range(epochs):
             order = rng.permutation(len(word))
             for lo in range(0, len(order), batch):
                 at = order[lo : lo + batch]
+                at = at[np.argsort(word[at], kind="stable")]
                 a, b, w = one[at], two[at], word[at]
-                n = len(at)
-                x = np.minimum(np.searchsorted(cum, rng.random(noise)), len(cum) - 1)
+                n = np.float32(len(at))
                 h = self.vectors(a, b)
-                # each text word against `noise` noise words; the noise is shared by the batch
-                s = (h * self.target[w]).sum(1) + self.bias[w] - log_noise[w] - np.log(noise)
-                t = h @ self.target[x].T + self.bias[x] - log_noise[x] - np.log(noise)
-                gs = (-1 / (1 + np.exp(s))) / n
-                gt = (1 / (1 + np.exp(-t))) / n
-                gh = gs[:, None] * self.target[w] + gt @ self.target[x]
-                gw = np.concatenate([gs[:, None] * h, gt.T @ h])
-                rows, g = scatter(len(self.target), np.concatenate([w, x]), gw)
-                gb = np.bincount(np.concatenate([w, x]), np.concatenate([gs, gt.sum(0)]), len(self.bias)).astype(np.float32)
-                pa_, pb = gh @ self.place[0].T, gh @ self.place[1].T
+                c = self.of[w]
+                x = np.minimum(np.searchsorted(cum_class, rng.random(noise)), len(cum_class) - 1)
+                gh, rows, g = contrast(h, self.classes, self.class_bias, log_class, c, x)
+                g /= n
+                step("classes", g[:, :-1], rows)
+                step("class_bias", g[:, -1], rows)
+                uses[at_class + rows] += 1
+                cut = np.append(np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]])), len(c))
+                for i, j in zip(cut[:-1].tolist(), cut[1:].tolist()):
+                    k = c[i]
+                    m = int(size[k])
+                    if m == 1:
+                        continue
+                    f, e = int(self.first[k]), int(self.first[k + 1])
+                    low, high = cum_word[f], cum_word[e]
+                    x = np.clip(np.searchsorted(cum_word[f + 1 : e], low + (high - low) * rng.random(min(noise, 2 * m)), "right"), 0, m - 1)
+                    part, rows, g = contrast(h[i:j], self.target[f:e], self.bias[f:e], log_word[f:e], w[i:j] - f, x)
+                    gh[i:j] += part
+                    g /= n
+                    step("target", g[:, :-1], rows + f)
+                    step("bias", g[:, -1], rows + f)
+                    uses[rows + f] += 1
+                gh /= n
                 gp = np.stack([self.context[a].T @ gh, self.context[b].T @ gh])
-                step(1, g, rows)
-                step(2, gb)
-                rows, g = scatter(len(self.context), np.concatenate([a, b]), np.concatenate([pa_, pb]))
-                step(0, g, rows)
-                step(3, gp)
+                rows, g = scatter(np.concatenate([a, b]), np.concatenate([gh @ self.place[0].T, gh @ self.place[1].T]))
+                step("context", g, rows)
+                uses[at_context + rows] += 1
+                step("place", gp)
+                uses[-2 * SIZE :] += 1
+        return past
 
     def log10(self, one: np.ndarray, two: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """log10 probability of each word after its context, normalised over the vocabulary and the rest."""
-        key, where = np.unique(two.astype(np.int64) * (self.start + 1) + one, return_inverse=True)
-        h = self.vectors(key % (self.start + 1), key // (self.start + 1))
-        norm = np.empty(len(key), np.float32)
-        for lo in range(0, len(key), 4096):
-            x = h[lo : lo + 4096] @ self.target.T
-            x += self.bias
-            top = x.max(1)
-            np.exp(x - top[:, None], out=x)
-            norm[lo : lo + 4096] = top + np.log(x.sum(1))
+        """log10 probability of each word after its context, normalised over the classes and within the word's class."""
+        order = np.argsort(self.of[word], kind="stable")
         out = np.empty(len(word))
-        for lo in range(0, len(word), 1 << 16):
-            w, c = word[lo : lo + (1 << 16)], where[lo : lo + (1 << 16)]
-            out[lo : lo + (1 << 16)] = np.einsum("ij,ij->i", h[c], self.target[w]) + self.bias[w] - norm[c]
+
+        def among(h: np.ndarray, vec: np.ndarray, bias: np.ndarray, w: np.ndarray) -> np.ndarray:
+            x = h @ vec.T
+            x += bias
+            x -= x.max(1)[:, None]
+            own = x[np.arange(len(w)), w]
+            np.exp(x, out=x)
+            return own - np.log(x.sum(1))
+
+        for lo in range(0, len(word), 1 << 15):
+            at = order[lo : lo + (1 << 15)]
+            w = word[at]
+            c = self.of[w]
+            h = self.vectors(one[at], two[at])
+            got = np.concatenate([among(h[i : i + 4096], self.classes, self.class_bias, c[i : i + 4096]) for i in range(0, len(w), 4096)])
+            cut = np.append(np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]])), len(c))
+            for i, j in zip(cut[:-1].tolist(), cut[1:].tolist()):
+                f, e = int(self.first[c[i]]), int(self.first[c[i] + 1])
+                for q in range(i, j if e - f > 1 else i, 4096):
+                    r = min(q + 4096, j)
+                    got[q:r] += among(h[q:r], self.target[f:e], self.bias[f:e], w[q:r] - f)
+            out[at] = got
         return out / np.log(10)
 
 
@@ -229,8 +299,51 @@ def count(docs: DataFrame, text_col: str) -> DataFrame:
     return docs.select(text_col).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def fit(docs: DataFrame, learn: Column, counts: DataFrame, id_col: str = "doc_id", text_col: str = "text", head: int = HEAD, vocab: int = VOCAB, sample: int = SAMPLE, sample_chars: int = SAMPLE_CHARS) -> Frozen:
+def train(docs: DataFrame, frozen: Frozen, text_col: str, trainers: int) -> np.ndarray:
+    """The mean of the parameters that trainers reach, each on its share of all texts of docs."""
+    shared = docs.sparkSession.sparkContext.broadcast(frozen)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f: Frozen = shared.value
+        model = copy.deepcopy(f.model)  # a worker's next task starts as this one did
+        past = None
+        for batch in batches:
+            parts = [tokens(b, o) for _, _, b, o in pieces(*flat(batch.column(0)))]
+            if not parts:
+                continue
+            h = np.concatenate([x for x, _ in parts])
+            bounds = np.append(0, np.cumsum(np.concatenate([np.diff(y) for _, y in parts])))
+            word = f.ids(f.head.find(h))
+            past = model.fit(*contexts(word, bounds, model.start), word, past=past)
+        if past is not None:
+            uses = past["uses"].astype(np.float64)[:, None]
+            table = np.column_stack([model.table() * uses, uses])
+            for lo in range(0, len(table), AVERAGED):
+                yield pa.RecordBatch.from_arrays([pa.array([lo // AVERAGED], pa.int32()), pa.array([table[lo : lo + AVERAGED].tobytes()], pa.binary())], names=["part", "sums"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, x in zip(batch.column(0).to_pylist(), batch.column(1)):
+                x = np.frombuffer(x.as_buffer(), np.float64)
+                held[part] = held[part] + x if part in held else x.copy()
+        for part, x in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([x.tobytes()], pa.binary())], names=["part", "sums"])
+
+    ddl = "part int, sums binary"
+    table = frozen.model.table()
+    for r in docs.select(text_col).coalesce(trainers).mapInArrow(run, ddl).repartition("part").mapInArrow(add, ddl).toLocalIterator():
+        x = np.frombuffer(bytes(r["sums"]), np.float64).reshape(-1, SIZE + 2)
+        used = np.flatnonzero(x[:, -1] > 0)
+        table[r["part"] * AVERAGED + used] = x[used, :-1] / x[used, -1:]
+    return table
+
+
+def fit(docs: DataFrame, learn: Column, counts: DataFrame, text_col: str = "text", head: int = HEAD, vocab: int | None = None) -> Frozen:
+    """The counts' head and a model of all texts for which ``learn`` holds; ``vocab`` words, by default as many as the counts ask for."""
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    vocab = max(VOCAB, math.isqrt(total)) if vocab is None else vocab
+    head = max(head, vocab)
     # the head is cut by classes of counts, so that no task sorts candidates of all others
     level = F.floor(F.log2("n") * 64).cast("int")
     below = None
@@ -245,16 +358,9 @@ def fit(docs: DataFrame, learn: Column, counts: DataFrame, id_col: str = "doc_id
     order = np.lexsort((keys.view(np.int64), -n))
     keys, n = keys[order], n[order]
     frozen = Frozen(Head(keys, n), float(total), int(distinct), Model(n[:vocab], float(total), int(distinct)))
-    rows = docs.where(learn).count()
-    share = min(1.0, 2 * sample / max(rows, 1))
-    hash_ = F.xxhash64(F.col(id_col).cast("string"), F.lit(9))
-    few = docs.where(learn & (F.pmod(hash_, F.lit(1 << 30)) < share * (1 << 30)) & (F.length(text_col) <= sample_chars)).select(hash_.alias("h"), F.col(text_col).alias("text")).dropDuplicates(["h"]).collect()
-    texts = [r["text"].encode() for r in sorted(few, key=lambda r: (r["h"] % (1 << 30), r["h"]))[:sample]]
-    if texts:
-        offs = np.append(0, np.cumsum([len(t) for t in texts]))
-        h, bounds = tokens(np.frombuffer(b"".join(texts), np.uint8), offs)
-        word = frozen.ids(frozen.head.find(h))
-        frozen.model.fit(*contexts(word, bounds, frozen.model.start), word)
+    if total:
+        most = TRAINERS * docs.sparkSession.sparkContext.defaultParallelism
+        frozen.model.load(train(docs.where(learn), frozen, text_col, min(most, math.ceil(total / TRAINED))))
     return frozen
 
 
@@ -312,4 +418,4 @@ def learn_and_score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text
     tune(docs.sparkSession)
     scratch = Scratch(docs.sparkSession)
     counts = scratch.cut(count(docs.where(learn), text_col), "counts")
-    return score(docs, fit(docs, learn, counts, id_col, text_col, **options), counts, scratch, id_col, text_col)
+    return score(docs, fit(docs, learn, counts, text_col, **options), counts, scratch, id_col, text_col)

@@ -254,6 +254,27 @@ def test_language_model_is_normalised():
     assert np.allclose(p.reshape(2, 6).sum(1), 1, atol=1e-4)
 
 
+def test_language_model_learns_all_texts(spark):
+    # every learning text is long, and the words are more than the least vocabulary
+    text = " ".join(["left right"] * 6000)
+    rows = [(i, text) for i in range(12)] + [(100, "left right left right left right")]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    held = lm.learn_and_score(table, F.col("doc_id") < 100).where("doc_id = 100").first()
+    assert held.score > held.base_score + 0.5
+    many = " ".join(f"w{i}" for i in range(1105)) + " "
+    wide = spark.createDataFrame([(1, many * 1105)], "doc_id long, text string")
+    counts = lm.count(wide, "text")
+    assert lm.fit(wide, F.lit(True), counts).model.rest == 1105
+
+
+def test_classes_hold_all_words_once():
+    counts = np.sort(np.random.default_rng(2).zipf(1.3, 3000).clip(max=10**6))[::-1]
+    m = lm.Model(counts, float(counts.sum()) + 50, 3100)
+    assert len(m.of) == 3001 and (np.diff(m.of) >= 0).all() and m.first[-1] == 3001 and m.of[-1] > m.of[-2]
+    p = 10 ** m.log10(np.full(3001, 3), np.full(3001, 4), np.arange(3001))
+    assert np.allclose(p, m.noise, rtol=1e-3)
+
+
 def test_head_table():
     keys = np.random.default_rng(1).integers(0, 1 << 63, 5000).astype(np.uint64)
     h = lm.Head(keys[:4000], np.arange(4000))
