@@ -2,7 +2,8 @@
 
 A line's normal form is its ASCII letters (folded), digits and non-ASCII bytes; its shingles are
 the distinct runs of ``SHINGLE`` bytes of that form. Two lines are near if the Jaccard
-similarity of their shingles is at least ``NEAR``. Lines of one normal form are one node. Nodes
+similarity of their shingles is at least ``NEAR``. Lines of one normal form are one node. A node of
+under ``SHORT`` bytes is near to none but itself: its lines are repeats by their normal form. Other nodes
 with a common MinHash band (``BANDS`` of ``ROWS`` rows, over shingles of ``LONGER`` bytes) are
 candidates. Candidates that hang
 together are a family, found by distributed union-find before any text moves; the texts then go
@@ -16,7 +17,7 @@ A bucket's rows are reduced to one per ``SENT`` nodes of a task before they are
 all texts hold, or thousands of near copies of it, costs one row for each; rows travel packed.
 
 Defined results: a null or empty text has no lines; lines end at line feeds; lines whose normal
-form has under ``SHORT`` bytes are never removed; rows equal in id and text are one document and
+form is empty are never removed; rows equal in id and text are one document and
 share its decisions; null ids come after all others. ``removals`` reads only the named columns;
 ``dedupe`` returns all columns of its input, without texts of which nothing but white space is
 left after a removal. An empty table gives an empty result. Nodes are 64-bit hashes of normal
@@ -152,16 +153,21 @@ def _tables(docs: DataFrame, id_col: str, text_col: str, parts: int) -> DataFram
             buf, offs = flat(batch.column(1))
             for lo, hi, b, o in pieces(buf, offs, 1 << 18):
                 norm, bounds, doc, number = split(b, o)
-                which = np.flatnonzero(np.diff(bounds) >= SHORT)
+                size = np.diff(bounds)
+                which = np.flatnonzero(size)
                 node = _nodes(norm, bounds, which)
+                long = size[which] >= SHORT
                 at = pa.array(lo + doc[which])
                 n = len(which)
-                yield pa.RecordBatch.from_arrays([pa.array((node % parts).astype(np.int32)), pa.array(np.zeros(n, np.int8)), ids.take(at), rows.take(at), pa.array(number[which].astype(np.int32)), pa.array(node), pa.nulls(n, pa.binary())], names=names)
+                # short lines, of which many are alike, go with their texts, not all to one place
+                place = np.where(long, node, rows.to_numpy()[lo + doc[which]]) % parts
+                yield pa.RecordBatch.from_arrays([pa.array(place.astype(np.int32)), pa.array(np.zeros(n, np.int8)), ids.take(at), rows.take(at), pa.array(number[which].astype(np.int32)), pa.array(node), pa.nulls(n, pa.binary())], names=names)
                 n = hi - lo
                 row = rows.slice(lo, n)
                 yield pa.RecordBatch.from_arrays([pa.array((row.to_numpy() % parts).astype(np.int32)), pa.array(np.full(n, 3, np.int8)), ids.slice(lo, n), row, pa.array(np.bincount(doc, minlength=n).astype(np.int32)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], names=names)
                 new = []
-                for i, x in enumerate(node.tolist()):
+                for i in np.flatnonzero(long).tolist():
+                    x = int(node[i])
                     if x not in seen:
                         seen.add(x)
                         new.append(i)

@@ -131,6 +131,15 @@ def test_line_removals(docs, family):
     assert sorted(([r.doc_id, r.text] for r in left.collect()), key=repr) == sorted(texts, key=repr)
 
 
+def test_short_lines(spark):
+    texts = ["All rights reserved.\nfirst", "all rights, reserved\n...\nAnd ornd.\nAnd ornd.", "All rights reserve.\n...\n\nx", "X!\n日本"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    got = {r.doc_id: (r.removed_lines, r.kept_in) for r in lines.removals(docs).collect()}
+    # equal normal forms only, and none that is empty
+    assert got == {0: ([], []), 1: ([0, 3], [0, 1]), 2: ([], []), 3: ([0], [2])}
+    assert [r.text for r in lines.dedupe(docs).orderBy("doc_id").collect()] == [texts[0], "...\nAnd ornd.", texts[2], "日本"]
+
+
 def test_jaccard_and_split():
     got = lines.similarities([b"abcdefgh", b"aaaaaaaa"], [b"abcdefgh", b"aaaaabbbbb"])
     assert got.tolist() == [1.0, 1 / 6]
