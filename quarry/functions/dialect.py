@@ -2,13 +2,17 @@
 
 The dialect is that of linear-time engines: no look-around, no back-references; Unicode classes
 by default; ``$`` without ``m`` only at the very end; ``.`` without ``s`` anything but a line
-feed. Both translations spell these meanings out instead of relying on the target's defaults.
+feed. The translations (to Java, Python and RE2) spell these meanings out instead of relying on
+the target's defaults. Java's and Python's matchers backtrack, RE2 doesn't; ``bounded`` tells
+which patterns are harmless in the former two.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, replace
+from collections.abc import Callable
+from dataclasses import dataclass, replace
 from functools import cache
+from math import prod
 
 import regex
 
@@ -37,6 +41,7 @@ class Property:
     java: str
     python: str
     negated: bool = False
+    fold: bool = False
 
 
 @dataclass(frozen=True)
@@ -93,6 +98,8 @@ _POSIX = {
     "alnum": "09AZaz", "alpha": "AZaz", "ascii": "\x00\x7f", "blank": "\t\t  ", "cntrl": "\x00\x1f\x7f\x7f", "digit": "09", "graph": "!~",
     "lower": "az", "print": " ~", "punct": "!/:@[`{~", "space": "\t\r  ", "upper": "AZ", "word": "09AZ__az", "xdigit": "09AFaf",
 }
+#: Largest count of a repetition; engines that compile repetitions have a bound on the program's size instead.
+MOST_REPEATED = 1 << 16
 _ESCAPES = {"n": "\n", "t": "\t", "r": "\r", "f": "\f", "v": "\v", "a": "\a"}
 _CATEGORY = {"Letter": "L", "Uppercase_Letter": "Lu", "Lowercase_Letter": "Ll", "Number": "N", "Decimal_Number": "Nd", "Punctuation": "P", "Symbol": "S", "Separator": "Z", "Mark": "M", "Other": "C"}
 
@@ -159,12 +166,10 @@ class _Parser:
                 most = int(m[3]) if m[3] else None if m[2] else least
                 if most is not None and most < least:
                     raise self.fail("bad repetition")
-                if max(least, most or 0) > 1000:
-                    raise self.fail("repetition beyond 1000")
+                if max(least, most or 0) > MOST_REPEATED:
+                    raise self.fail(f"repetition beyond {MOST_REPEATED}")
             else:
                 return node
-            if isinstance(node, Look) and c != "{":
-                pass
             lazy = self.peek() == "?"
             self.i += lazy
             node = Repeat(node, least, most, lazy != f.U)
@@ -231,7 +236,7 @@ class _Parser:
         except (ValueError, OverflowError):
             raise self.fail("bad code point") from None
 
-    def property(self, negated: bool) -> Property:
+    def property(self, negated: bool, fold: bool) -> Property:
         if self.peek() == "{":
             end = self.p.find("}", self.i)
             if end < 0:
@@ -244,7 +249,7 @@ class _Parser:
         key = name.partition("=")[2] or name
         short = _CATEGORY.get(key, key)
         java = rf"\p{{{short}}}" if len(short) <= 2 else rf"\p{{Is{short}}}"
-        return Property(java, rf"\p{{{short}}}", negated)
+        return Property(java, rf"\p{{{short}}}", negated, fold)
 
     def escape(self, f: Flags, inside: bool = False) -> object:
         c = self.take()
@@ -252,7 +257,7 @@ class _Parser:
             p = _PERL[c.lower()]
             return replace(p, negated=c.isupper())
         if c in "pP":
-            return self.property(c == "P")
+            return self.property(c == "P", f.i)
         if c in "xuU":
             return Char(self.hex(c), f.i)
         if c in _ESCAPES:
@@ -297,7 +302,7 @@ class _Parser:
                     raise self.fail("unknown POSIX class")
                 self.i = end + 2
                 pairs = _POSIX[name.lstrip("^")]
-                parts.append(Set_(tuple(zip(pairs[::2], pairs[1::2])), (), name[0] == "^", f.i))
+                parts.append(Set_(tuple(zip(pairs[::2], pairs[1::2])), (), name[0] == "^"))
                 continue
             if c == "[":
                 self.i += 1
@@ -350,39 +355,83 @@ def variants(c: str) -> str:
     return _variants_table().get(c, c)
 
 
-def _code(c: str) -> str:
+@cache
+def _folded_in(body: str) -> str:
+    """The characters outside a class (its Python spelling) that equal one of its members but for case."""
+    inside = regex.compile(body, regex.V1).match
+    return "".join(c for c, some in _variants_table().items() if not inside(c) and any(map(inside, some)))
+
+
+def _spelled(chars: str, point: Callable[[str], str]) -> str:
+    """Characters, ascending, as single ones and ranges of a class."""
+    out, at = [], 0
+    chars = sorted(chars)
+    while at < len(chars):
+        to = at
+        while to + 1 < len(chars) and ord(chars[to + 1]) == ord(chars[to]) + 1:
+            to += 1
+        out.append(point(chars[at]) if at == to else f"{point(chars[at])}-{point(chars[to])}")
+        at = to + 1
+    return "".join(out)
+
+
+def _java_point(c: str) -> str:
     return rf"\x{{{ord(c):x}}}"
 
 
+def _python_point(c: str) -> str:
+    return rf"\U{ord(c):08x}"
+
+
 def _emit_set(s: object, java: bool) -> str:
-    point = _code if java else lambda c: rf"\U{ord(c):08x}"
+    point = _java_point if java else _python_point
     if isinstance(s, Property):
         body = s.java if java else s.python
+        if s.fold:
+            body += _spelled(_folded_in(f"[{s.python}]"), point)
         return f"[^{body}]" if s.negated else f"[{body}]"
     if s.op:
         a, b = (_emit_set(x, java) for x in s.parts)
         inner = {"&&": f"[{a}&&{b}]", "--": f"[{a}&&[^{b}]]" if java else f"[{a}--{b}]", "~~": f"[[{a}&&[^{b}]][{b}&&[^{a}]]]" if java else f"[{a}~~{b}]"}[s.op]
         return f"[^{inner}]" if s.negated else inner
     body = "".join(point(a) if a == b else f"{point(a)}-{point(b)}" for a, b in s.ranges)
-    if s.fold:
-        for a, b in s.ranges:
-            if ord(b) - ord(a) < 4096:
-                body += "".join(point(v) for c in range(ord(a), ord(b) + 1) for v in variants(chr(c)) if not a <= v <= b)
     body += "".join(_emit_set(x, java) for x in s.parts)
+    if s.fold and body:
+        body += _spelled(_folded_in(_emit_set(replace(s, negated=False, fold=False), False)), point)
     if not body:
         return "[^\\x{0}-\\x{10ffff}]" if java else r"[^\U00000000-\U0010ffff]"
     return f"[{'^' * s.negated}{body}]"
 
 
+@cache
+def _every() -> tuple[tuple[int, str], ...]:
+    return tuple((a, "".join(map(chr, range(a, b)))) for a, b in ((0, 0xD800), (0xE000, 0x110000)))
+
+
+@cache
+def code_points(node: Property | Set_) -> tuple[tuple[int, int], ...]:
+    """The ranges of code points that a class matches, both ends included."""
+    runs = regex.compile(f"{_emit_set(node, False)}+", regex.V1)
+    return tuple((first + m.start(), first + m.end() - 1) for first, text in _every() for m in runs.finditer(text))
+
+
 _JAVA_LOOK = {"start": r"\A", "end": r"\z", "line start": r"(?<![^\n])", "line end": r"(?![^\n])"}
 _WORDS = (_PERL["w"].java, _PERL["w"].python)
+WORD = _PERL["w"]
+_SINGLE = (Char, Any_, Property, Set_)
+_HARMLESS = " _,;:@%/'\"=<>!~`"
+
+
+def _count(n: Repeat) -> str:
+    count = {(0, None): "*", (1, None): "+", (0, 1): "?"}.get((n.least, n.most)) or f"{{{n.least}{'' if n.most == n.least else ',' if n.most is None else f',{n.most}'}}}"
+    return count + "?" * n.lazy
 
 
 def _emit(n: object, java: bool) -> str:
     if isinstance(n, Char):
         if n.fold and len(v := variants(n.char)) > 1:
             return _emit_set(Set_(tuple((c, c) for c in v)), java)
-        return n.char if n.char.isalnum() and n.char.isascii() or n.char in " _,;:@%/'\"=<>!~`" else _code(n.char) if java else rf"\U{ord(n.char):08x}"
+        return n.char if n.char.isalnum() and n.char.isascii() or n.char in _HARMLESS else _java_point(n.char) if java else _python_point(n.char)
     if isinstance(n, Any_):
         return r"(?s:.)" if n.newline else r"[^\n]"
     if isinstance(n, (Property, Set_)):
@@ -394,22 +443,86 @@ def _emit(n: object, java: bool) -> str:
         border = f"(?:(?<={w})(?!{w})|(?<!{w})(?={w}))"
         return border if n.kind == "word" else f"(?:(?<={w})(?={w})|(?<!{w})(?!{w}))"
     if isinstance(n, Repeat):
-        count = {(0, None): "*", (1, None): "+", (0, 1): "?"}.get((n.least, n.most)) or f"{{{n.least}{'' if n.most == n.least else ',' if n.most is None else f',{n.most}'}}}"
-        inner = _emit(n.node, java)
-        return f"(?:{inner}){count}{'?' * n.lazy}"
+        return f"(?:{_emit(n.node, java)}){_count(n)}"
     if isinstance(n, Seq):
         return "".join(f"(?:{_emit(x, java)})" if isinstance(x, Alt) else _emit(x, java) for x in n.items)
     return "|".join(_emit(x, java) for x in n.items)
 
 
+def simplify(n: object) -> object:
+    """The tree with alternations of single characters as classes; it matches the same."""
+    if isinstance(n, Repeat):
+        return replace(n, node=simplify(n.node))
+    if isinstance(n, Seq):
+        items = tuple(map(simplify, n.items))
+        return items[0] if len(items) == 1 else Seq(items)
+    if isinstance(n, Alt):
+        items = tuple(map(simplify, n.items))
+        if all(isinstance(x, (Char, Property, Set_)) for x in items):
+            chars = [v for x in items if isinstance(x, Char) for v in (variants(x.char) if x.fold else x.char)]
+            return Set_(tuple((c, c) for c in chars), tuple(x for x in items if not isinstance(x, Char)))
+        return Alt(items)
+    return n
+
+
 def to_java(pattern: str) -> str:
     """The pattern for Spark's rlike and regexp functions."""
-    return _emit(parse(pattern), True)
+    return _emit(simplify(parse(pattern)), True)
 
 
 def to_python(pattern: str) -> regex.Pattern[str]:
     """The pattern compiled for the regex module."""
-    return regex.compile(_emit(parse(pattern), False), regex.V1)
+    return regex.compile(_emit(simplify(parse(pattern)), False), regex.V1)
+
+
+def emit_re2(n: object, point: Callable[[str], str], single: Callable[[object], str]) -> str:
+    """A simplified tree for RE2; ``single`` spells a class, ``point`` a character."""
+    if isinstance(n, Char):
+        return single(Set_(tuple((c, c) for c in v))) if n.fold and len(v := variants(n.char)) > 1 else point(n.char)
+    if isinstance(n, Any_):
+        return r"(?s:.)" if n.newline else r"[^\n]"
+    if isinstance(n, (Property, Set_)):
+        return single(n)
+    if isinstance(n, Look):
+        return {"start": r"\A", "end": r"\z", "line start": "(?m:^)", "line end": "(?m:$)", "word": r"\b", "no word": r"\B"}[n.kind]
+    if isinstance(n, Repeat):
+        inner = f"(?:{emit_re2(n.node, point, single)})"
+        # RE2 takes counts up to 1000; more of them stand one behind another
+        whole, most = divmod(n.least, 1000)[0], n.most
+        if n.least <= 1000 and (most is None or most <= 1000):
+            return inner + _count(n)
+        if most is not None and most != n.least:
+            more = most - n.least
+            tail = f"{inner}{{0,1000}}{'?' * n.lazy}" * (more // 1000) + (f"{inner}{{0,{more % 1000}}}{'?' * n.lazy}" if more % 1000 else "")
+        else:
+            tail = f"{inner}*{'?' * n.lazy}" if most is None else ""
+        return f"(?:{f'{inner}{{1000}}' * whole}{f'{inner}{{{n.least % 1000}}}' if n.least % 1000 else ''}{tail})"
+    if isinstance(n, Seq):
+        return "".join(f"(?:{emit_re2(x, point, single)})" if isinstance(x, Alt) else emit_re2(x, point, single) for x in n.items)
+    return "|".join(emit_re2(x, point, single) for x in n.items)
+
+
+def _ways(n: object) -> float:
+    """How many ways a backtracking matcher may try at one place, at most; infinite if that depends on the text."""
+    if isinstance(n, Repeat):
+        if n.most is None:
+            return float("inf")
+        w = _ways(n.node)
+        if isinstance(n.node, _SINGLE):
+            return n.most - n.least + 1
+        if n.most > 100:
+            return float("inf")
+        return sum(w**k for k in range(n.least, n.most + 1))
+    if isinstance(n, Seq):
+        return prod(map(_ways, n.items))
+    if isinstance(n, Alt):
+        return sum(map(_ways, n.items))
+    return 1
+
+
+def bounded(n: object) -> bool:
+    """Whether a backtracking matcher needs a bounded number of steps at each place of a text: no loop without an end, few choices."""
+    return _ways(n) <= 1000
 
 
 def nullable(n: object) -> bool:

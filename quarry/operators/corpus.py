@@ -1,33 +1,33 @@
 """Corpus geometry: document bounds in the concatenated corpus, lookups by offset, scans and facts.
 
-Offsets are bytes. Bounds come from a distributed running sum: documents are cut into ranges of
-ids, each range's bytes are summed, and a window runs within ranges only.
+Offsets are bytes. Bounds come from a distributed running total over the sizes alone.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Documents of one range of ids, about.
-RANGE = 100_000
+from quarry.operators.order import running
+from quarry.session import Scratch
+
+
+def _sized(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("size"))
 
 
 def doc_bounds(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, doc_start, doc_end): half-open, ascending by id, documents end to end."""
-    sized = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("size"))
-    low, high, count = sized.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    if not count:
-        return sized.select("doc_id", F.lit(0).cast("long").alias("doc_start"), F.lit(0).cast("long").alias("doc_end"))
-    width = max(1, (high - low + 1) * RANGE // max(count, RANGE))
-    part = F.floor((F.col("doc_id") - low) / width).cast("long")
-    parted = sized.withColumn("part", part)
-    sums = parted.groupBy("part").agg(F.sum("size").alias("bytes"))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select("part", F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("offset"))
-    running = Window.partitionBy("part").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    ended = parted.withColumn("inside", F.sum("size").over(running)).join(offsets, "part")
-    return ended.select("doc_id", (F.col("offset") + F.col("inside") - F.col("size")).alias("doc_start"), (F.col("offset") + F.col("inside")).alias("doc_end"))
+    """(doc_id, doc_start, doc_end): half-open, documents end to end by ascending id."""
+    placed = running(_sized(docs, id_col, text_col), ["doc_id", "size"], "size", Scratch(docs.sparkSession))
+    return placed.select("doc_id", F.col("before").alias("doc_start"), (F.col("before") + F.col("size")).alias("doc_end"))
+
+
+def bounds_of(docs: DataFrame, doc_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, doc_start, doc_end) of one document, if there is such: one pass over the documents up to it, without a sort."""
+    upto = _sized(docs.where(F.col(id_col) <= doc_id), id_col, text_col)
+    own = F.col("doc_id") == doc_id
+    sums = upto.agg(F.max("doc_id").alias("doc_id"), F.coalesce(F.sum(F.when(~own, F.col("size"))), F.lit(0)).alias("doc_start"), F.sum("size").alias("doc_end"))
+    return sums.where(own)
 
 
 def offset_to_doc(offsets: DataFrame, bounds: DataFrame, offset_col: str = "offset", block: int = 1 << 16) -> DataFrame:

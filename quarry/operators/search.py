@@ -1,25 +1,35 @@
 """Regular-expression search over documents.
 
-``search`` returns (doc_id, matches, content): half-open byte ranges relative to the document,
-documents and matches ascending when sorted. Its meaning is that of a full scan; an index only
-leaves out documents that can't match. The filter runs in the JVM (``rlike``); ranges are found
-in Arrow batches of the documents that passed.
+``search`` returns (doc_id, matches, content): half-open byte ranges relative to the document.
+Its meaning is that of a full scan; an index only leaves out documents that can't match.
+
+Which matcher runs is decided by the pattern alone. Literals become ``contains``, which reaches
+Parquet's filters. A pattern whose matcher can't be made to backtrack far runs as ``rlike`` in the
+JVM. All others run in linear time in Arrow batches, behind a filter by the literals that they
+require; so do byte ranges, of any pattern.
 """
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions import dialect
+from quarry.functions.linear import compiled
 from quarry.operators.index import Index, candidates
 from quarry.plans import literals
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 RANGES = "array<struct<start:long,end:long>>"
+#: Candidate documents whose ids are put into the scan's own filter, at most; more are joined.
+LISTED = 10_000
+#: Ranges of ids in such a filter.
+GAPS = 32
 
 
 def ascii_lower(column: Column | str) -> Column:
@@ -31,50 +41,115 @@ def can_be_empty(pattern: str) -> bool:
     return dialect.nullable(dialect.parse(pattern))
 
 
+def in_jvm(pattern: str) -> bool:
+    """Whether the JVM's matcher finds all matches in a bounded number of steps at each place."""
+    tree = dialect.simplify(dialect.parse(pattern))
+    return not dialect.nullable(tree) and dialect.bounded(tree)
+
+
+def required(tree: object) -> list[str]:
+    """Texts that each match contains as they stand."""
+    out, run = [], ""
+    for n in [*(tree.items if isinstance(tree, dialect.Seq) else [tree]), None]:
+        if isinstance(n, dialect.Char) and not n.fold:
+            run += n.char
+            continue
+        if isinstance(n, dialect.Repeat) and n.least and isinstance(n.node, dialect.Char) and not n.node.fold:
+            run += n.node.char
+        out.append(run)
+        run = ""
+    return [x for x in out if x]
+
+
 def matching(docs: DataFrame, pattern: str, text_col: str = "text") -> DataFrame:
-    """The documents with a match. Literal patterns become contains(), which scans faster and reaches Parquet's filters."""
-    tree = dialect.parse(pattern)
+    """The documents with a match, all columns."""
+    tree = dialect.simplify(dialect.parse(pattern))
     if dialect.nullable(tree) and not dialect.asserts(tree):
         return docs.where(F.col(text_col).isNotNull())
-    plain = tree.items if isinstance(tree, dialect.Seq) else ()
+    plain = tree.items if isinstance(tree, dialect.Seq) else (tree,)
     if plain and all(isinstance(n, dialect.Char) and not n.fold for n in plain):
         return docs.where(F.col(text_col).contains("".join(n.char for n in plain)))
-    return docs.where(F.col(text_col).rlike(dialect.to_java(pattern)))
+    for literal in required(tree):
+        docs = docs.where(F.col(text_col).contains(literal))
+    if in_jvm(pattern):
+        return docs.where(F.col(text_col).rlike(dialect.to_java(pattern)))
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(compiled(pattern).found(batch.column(at)))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def candidate_docs(docs: DataFrame, pattern: str, index: Index | None, skip_index: bool, id_col: str) -> DataFrame:
-    """docs, without those that the index rules out."""
+    """docs, without those that the index rules out.
+
+    Few candidates with whole numbers as ids go into the scan's filter, as ranges around clusters
+    of ids, so that a corpus sorted by id is read where they are; others are joined.
+    """
     if index is None or skip_index:
         return docs
     found = candidates(index, literals.plan(pattern))
-    return docs if found is None else docs.join(found.withColumnRenamed("doc_id", id_col), id_col, "left_semi")
-
-
-def search(docs: DataFrame, pattern: str, index: Index | None = None, skip_index: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, matches, content) of every document with a match."""
-    tree = dialect.parse(pattern)
-    inside = dialect.nullable(tree) and not dialect.asserts(tree)
-    compiled = dialect.to_python(pattern)
+    if found is None:
+        return docs
+    ids = found.ids
+    if ids is not None and not len(ids):
+        return docs.where(F.lit(False))
+    if ids is not None and len(ids) <= LISTED:
+        gaps = np.diff(ids)
+        cut = np.sort(np.argsort(-gaps, kind="stable")[: GAPS - 1])
+        cut = cut[gaps[cut] > 1] + 1
+        near = F.lit(False)
+        for part in np.split(ids, cut):
+            near = near | F.col(id_col).between(int(part[0]), int(part[-1]))
+        return docs.where(near & F.col(id_col).isin(ids.tolist()))
+    if ids is not None:
+        some = docs.sparkSession.createDataFrame(pa.table({id_col: ids}))
+    else:
+        some = found.docs.withColumnRenamed("doc_id", id_col)
+    return docs.join(some, id_col, "left_semi")
+
+
+def _ahead(docs: DataFrame, pattern: str, index: Index | None, skip_index: bool, id_col: str, text_col: str) -> DataFrame:
+    """(id, text) of the documents that may match: as many as can be told in the JVM."""
+    some = candidate_docs(docs.select(id_col, text_col), pattern, index, skip_index, id_col)
+    if in_jvm(pattern):
+        return matching(some, pattern, text_col)
+    some = some.where(F.col(text_col).isNotNull())
+    for literal in required(dialect.simplify(dialect.parse(pattern))):
+        some = some.where(F.col(text_col).contains(literal))
+    return some
+
+
+def search(docs: DataFrame, pattern: str, index: Index | None = None, skip_index: bool = False, id_col: str = "doc_id", text_col: str = "text", ordered: bool = False) -> DataFrame:
+    """(doc_id, matches, content) of every document with a match: matches ascending, documents too if ``ordered``."""
     kind = dict(docs.dtypes)[id_col]
-    item = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    item = pa.struct([("start", pa.int64()), ("end", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [dialect.find_all(compiled, t, inside) for t in batch.column(1).to_pylist()]
-            keep = pa.array([bool(f) for f in found])
-            ranges = pa.array([[{"start": a, "end": b} for a, b in f] for f in found], item)
-            yield pa.RecordBatch.from_arrays([batch.column(0), ranges, batch.column(1)], names=["doc_id", "matches", "content"]).filter(keep)
+            bounds, starts, ends = compiled(pattern).ranges(batch.column(1))
+            ranges = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.StructArray.from_arrays([pa.array(starts), pa.array(ends)], fields=list(item)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), ranges, batch.column(1)], names=["doc_id", "matches", "content"]).filter(pa.array(np.diff(bounds) > 0))
 
-    hits = matching(candidate_docs(docs.select(id_col, text_col), pattern, index, skip_index, id_col), pattern, text_col)
-    return hits.mapInArrow(run, f"doc_id {kind}, matches {RANGES}, content string")
+    out = _ahead(docs, pattern, index, skip_index, id_col, text_col).mapInArrow(run, f"doc_id {kind}, matches {RANGES}, content string")
+    return out.orderBy("doc_id") if ordered else out
 
 
 def count_by_doc(docs: DataFrame, pattern: str, index: Index | None = None, skip_index: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_matches) of every document with a match; all in the JVM unless the pattern can match the empty text."""
-    if can_be_empty(pattern):
-        return search(docs, pattern, index, skip_index, id_col, text_col).select("doc_id", F.size("matches").cast("long").alias("n_matches"))
-    hits = matching(candidate_docs(docs.select(id_col, text_col), pattern, index, skip_index, id_col), pattern, text_col)
-    return hits.select(F.col(id_col).alias("doc_id"), F.regexp_count(text_col, F.lit(dialect.to_java(pattern))).cast("long").alias("n_matches"))
+    """(doc_id, n_matches) of every document with a match."""
+    some = _ahead(docs, pattern, index, skip_index, id_col, text_col)
+    if in_jvm(pattern):
+        return some.select(F.col(id_col).alias("doc_id"), F.regexp_count(text_col, F.lit(dialect.to_java(pattern))).cast("long").alias("n_matches"))
+    kind = dict(docs.dtypes)[id_col]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = compiled(pattern).counts(batch.column(1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n)], names=["doc_id", "n_matches"]).filter(pa.array(n > 0))
+
+    return some.mapInArrow(run, f"doc_id {kind}, n_matches long")
 
 
 def count_matches(docs: DataFrame, pattern: str, **options) -> DataFrame:
@@ -84,12 +159,18 @@ def count_matches(docs: DataFrame, pattern: str, **options) -> DataFrame:
 
 def matched_texts(docs: DataFrame, pattern: str, index: Index | None = None, skip_index: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, match_no, match) of every match, numbered from 0."""
-    if can_be_empty(pattern):
-        one = exploded(search(docs, pattern, index, skip_index, id_col, text_col))
-        cut = F.expr("decode(substring(encode(content, 'UTF-8'), cast(start + 1 as int), cast(end - start as int)), 'UTF-8')")
-        return one.select("doc_id", "match_no", cut.alias("match"))
-    hits = matching(candidate_docs(docs.select(id_col, text_col), pattern, index, skip_index, id_col), pattern, text_col)
-    return hits.select(F.col(id_col).alias("doc_id"), F.posexplode(F.regexp_extract_all(text_col, F.lit(dialect.to_java(pattern)), F.lit(0))).alias("match_no", "match")).withColumn("match_no", F.col("match_no").cast("long"))
+    some = _ahead(docs, pattern, index, skip_index, id_col, text_col)
+    if in_jvm(pattern):
+        texts = some.select(F.col(id_col).alias("doc_id"), F.regexp_extract_all(text_col, F.lit(dialect.to_java(pattern)), F.lit(0)).alias("texts"))
+    else:
+        kind = dict(docs.dtypes)[id_col]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([batch.column(0), compiled(pattern).texts(batch.column(1))], names=["doc_id", "texts"])
+
+        texts = some.mapInArrow(run, f"doc_id {kind}, texts array<string>")
+    return texts.select("doc_id", F.posexplode("texts").alias("match_no", "match")).withColumn("match_no", F.col("match_no").cast("long"))
 
 
 def exploded(found: DataFrame) -> DataFrame:
@@ -100,7 +181,7 @@ def exploded(found: DataFrame) -> DataFrame:
 
 def ranges(docs: DataFrame, pattern: str, **options) -> DataFrame:
     """(doc_id, start, end) of every match, in bytes."""
-    return exploded(search(docs, pattern, **options)).select("doc_id", "start", "end")
+    return search(docs, pattern, **options).select("doc_id", F.explode("matches").alias("m")).select("doc_id", "m.start", "m.end")
 
 
 def limited(docs: DataFrame, pattern: str, limit: int, **options) -> DataFrame:
@@ -111,3 +192,13 @@ def limited(docs: DataFrame, pattern: str, limit: int, **options) -> DataFrame:
 def grouped(matches: DataFrame) -> DataFrame:
     """(doc_id, matches) from rows (doc_id, start, end): ascending ranges."""
     return matches.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("matches"))
+
+
+def timed(docs: DataFrame, pattern: str, repeat: int = 1, **options) -> DataFrame:
+    """(run, n_matches, seconds) of so many searches, one after another."""
+    rows = []
+    for k in range(repeat):
+        began = time.perf_counter()
+        n = count_matches(docs, pattern, **options).first()["n_matches"]
+        rows.append((k, n, time.perf_counter() - began))
+    return docs.sparkSession.createDataFrame(rows, "run int, n_matches long, seconds double")

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+import pyarrow.fs as fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.functions import dialect
 from quarry.operators import corpus, index, search, suffixes
 from quarry.plans import literals
+from quarry.session import Scratch
+from quarry.sources import corpus as sources
+from quarry.sources import foreign
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -116,9 +122,45 @@ def search_empty_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.count_by_doc(docs_of(spark, sf_dir), ".*")
 
 
+_PATHOLOGICAL = ["(a|b)+c", "(?:an|er)+t", "(?:(?:t|ti)+o?)+n", "([a-z]+ )+x"]
+
+
+@query(" UNION ALL ".join(f"SELECT '{p}' AS pattern, n_docs, n_matches FROM ({_count(p)})" for p in _PATHOLOGICAL))
+def search_pathological(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Patterns on which a backtracking matcher runs out of stack or time."""
+    out = None
+    for p in _PATHOLOGICAL:
+        one = search.count_matches(docs_of(spark, sf_dir), p).select(F.lit(p).alias("pattern"), "n_docs", "n_matches")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("SELECT doc_id, CAST(len(regexp_extract_all(text, '[\\x{80}-\\x{ffff}kKsS]')) AS BIGINT) AS n_matches FROM documents WHERE regexp_matches(text, '[\\x{80}-\\x{ffff}kKsS]')")
+def search_wide_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A wide class, folded: k and s belong to it by the Kelvin sign and the long s; the sharp and all other signs anyway."""
+    return search.count_by_doc(docs_of(spark, sf_dir), r"(?i)[\x{80}-\x{ffff}]")
+
+
+#: What is written once for a session and a folder of tables: an index, a suffix table.
+_WRITTEN: dict[tuple[str, str, str], str] = {}
+
+
+def _written(spark: SparkSession, sf_dir: str, what: str, write: Callable[[str], object]) -> str:
+    key = spark.sparkContext.applicationId, sf_dir, what
+    if key not in _WRITTEN:
+        path = Scratch(spark).path(what)
+        write(path)
+        _WRITTEN[key] = path
+    return _WRITTEN[key]
+
+
+def index_of(spark: SparkSession, sf_dir: str) -> index.Index:
+    """The written index of documents."""
+    return index.load(spark, _written(spark, sf_dir, "index", lambda path: index.build(docs_of(spark, sf_dir), path)))
+
+
 def _indexed(spark: SparkSession, sf_dir: str, pattern: str, skip: bool = False) -> DataFrame:
-    docs = docs_of(spark, sf_dir)
-    return search.count_by_doc(docs, pattern, index=index.in_memory(docs), skip_index=skip)
+    return search.count_by_doc(docs_of(spark, sf_dir), pattern, index=index_of(spark, sf_dir), skip_index=skip)
 
 
 @query(_by_doc("(?i)license"))
@@ -183,39 +225,110 @@ _GRAMS = "SELECT DISTINCT doc_id, a || b || c AS gram FROM (SELECT doc_id, unnes
 
 @query(f"SELECT gram, CAST(count(*) AS BIGINT) AS df FROM ({_GRAMS}) GROUP BY gram")
 def gram_df(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index.frequencies(index.postings(docs_of(spark, sf_dir)))
+    df = index_of(spark, sf_dir).frequencies.where(F.col("gram") != index.ALL)
+    return df.select(index.gram_text(F.col("gram")).alias("gram"), "df")
 
 
 @query(f"SELECT gram, doc_id FROM ({_GRAMS})")
 def gram_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index.postings(docs_of(spark, sf_dir))
+    return index.rows(index_of(spark, sf_dir).postings)
 
 
 @query("SELECT doc_id FROM documents WHERE contains(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), 'lic') AND contains(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), 'und')")
 def doc_intersect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index.intersect(index.in_memory(docs_of(spark, sf_dir)), ["lic", "und"])
+    return index.intersect(index_of(spark, sf_dir), ["lic", "und"])
+
+
+def _df(literal: str) -> str:
+    grams = sorted({literal[i : i + 3] for i in range(len(literal) - 2)})
+    return "least(" + ", ".join(f"(SELECT count(*) FROM ({_GRAMS}) WHERE gram = '{g}')" for g in grams) + ")"
+
+
+@query(f"SELECT '(?i)license' AS pattern, CAST({_df('license')} AS BIGINT) AS most, CAST(count(*) AS BIGINT) AS n_docs, {_df('license')} > 0.5 * count(*) AS scanned FROM documents UNION ALL SELECT 'the' AS pattern, CASE WHEN {_df('the')} > 0.5 * count(*) THEN CAST(count(*) AS BIGINT) ELSE CAST({_df('the')} AS BIGINT) END AS most, CAST(count(*) AS BIGINT) AS n_docs, {_df('the')} > 0.5 * count(*) AS scanned FROM documents")
+def index_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many candidates a plan expects, by its rarest grams, and whether it is given up for a scan."""
+    found = [(p, index.probe(index_of(spark, sf_dir), literals.plan(p))) for p in ("(?i)license", "the")]
+    return spark.createDataFrame([(p, int(x.most), int(x.docs), not x.needs) for p, x in found], "pattern string, most long, n_docs long, scanned boolean")
 
 
-_SUFFIXES = "SELECT item_id AS doc_id, CAST(p - 1 AS BIGINT) AS pos, substring(t, p, 64) AS suffix FROM (SELECT item_id, t, unnest(range(1, length(t) + 1)) AS p FROM (SELECT item_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM benchmark))"
+_FOLDED = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_SUFFIXES = f"SELECT item_id AS doc_id, CAST(p - 1 AS BIGINT) AS pos, substring(t, p) AS suffix FROM (SELECT item_id, t, unnest(range(1, length(t) + 1)) AS p FROM (SELECT item_id, {_FOLDED.format('text')} AS t FROM benchmark))"
+_RANKED = f"SELECT r AS \"rank\", r // 2048 AS block, r % 2048 AS slot, suffix, doc_id, pos FROM (SELECT row_number() OVER (ORDER BY suffix, doc_id, pos) - 1 AS r, suffix, doc_id, pos FROM ({_SUFFIXES}))"
+
+
+def _item_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "benchmark")
+    return suffixes.load(spark, _written(spark, sf_dir, "item suffixes", lambda path: suffixes.build(items, path, id_col="item_id")))
 
 
 def _suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffixes.suffixes(table(spark, sf_dir, "benchmark"), id_col="item_id")
+    """The written suffix table of documents."""
+    return suffixes.load(spark, _written(spark, sf_dir, "suffixes", lambda path: suffixes.build(docs_of(spark, sf_dir), path)))
 
 
-@query(f"SELECT r AS \"rank\", r // 2048 AS block, r % 2048 AS slot, suffix, doc_id, pos FROM (SELECT row_number() OVER (ORDER BY suffix, doc_id, pos) - 1 AS r, suffix, doc_id, pos FROM ({_SUFFIXES}))")
+@query(f'SELECT "rank", block, slot, substring(suffix, 1, {suffixes.KEY}) AS suffix, doc_id, pos FROM ({_RANKED})')
 def suffix_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffixes.ranked(_suffixes(spark, sf_dir))
+    """Ranks by whole suffixes, of the items; those of documents are ``suffix_blocks``."""
+    return _item_suffixes(spark, sf_dir)
+
+
+@query()
+def suffix_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every block of the suffix table of documents: its size and a digest of its entries in order."""
+    entry = F.struct("slot", F.concat_ws(":", F.col("doc_id").cast("string"), F.col("pos").cast("string")).alias("place"))
+    by = _suffixes(spark, sf_dir).groupBy("block").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(entry)).alias("entries"))
+    return by.select("block", "n", F.sha2(F.array_join(F.col("entries.place"), ","), 256).alias("digest"))
+
 
+@query("SELECT CAST(sum(length(text)) AS BIGINT) AS n_suffixes, CAST((sum(length(text)) - 1) // 2048 AS BIGINT) AS max_block FROM documents")
+def suffix_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.facts(_suffixes(spark, sf_dir))
 
-@query(f"SELECT CAST(count(*) FILTER (suffix < 'the') AS BIGINT) AS below, CAST(count(*) FILTER (suffix < 'the' OR starts_with(suffix, 'the')) AS BIGINT) AS through FROM ({_SUFFIXES})")
+
+@query(f'SELECT "rank", block, slot, substring(suffix, 1, {suffixes.KEY}) AS suffix, doc_id, pos FROM ({_RANKED}) WHERE block BETWEEN 1 AND 2')
+def suffix_block_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.blocks(_item_suffixes(spark, sf_dir), 1, 2)
+
+
+@query(f"SELECT r.doc_id, r.pos, substring(text, CAST(pos + 1 AS BIGINT)) AS content FROM ({_RANKED}) r JOIN benchmark b ON b.item_id = r.doc_id WHERE r.\"rank\" = 1000")
+def suffix_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.at_rank(_item_suffixes(spark, sf_dir), table(spark, sf_dir, "benchmark"), 1000, id_col="item_id")
+
+
+@query("SELECT a AS first_rank, b AS end_rank, CASE WHEN a < b THEN a // 2048 END AS first_block, CASE WHEN a < b THEN (b - 1) // 2048 END AS last_block FROM (VALUES (CAST(0 AS BIGINT), CAST(0 AS BIGINT)), (0, 1), (0, 2048), (0, 2049), (2047, 2048), (2048, 9000), (5000, 5000)) v(a, b)")
+def suffix_blocks_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rank ranges to block ranges, the empty ones and those that end with a block included."""
+    rows = spark.createDataFrame([(0, 0), (0, 1), (0, 2048), (0, 2049), (2047, 2048), (2048, 9000), (5000, 5000)], "first_rank long, end_rank long")
+    found = rows.withColumn("b", suffixes.blocks_of(F.col("first_rank"), F.col("end_rank")))
+    return found.select("first_rank", "end_rank", F.col("b.first").alias("first_block"), F.col("b.last").alias("last_block"))
+
+
+_CHARS = f"SELECT doc_id, z[1] AS p, z[2] || coalesce(z[3], '') || coalesce(z[4], '') AS three FROM (SELECT doc_id, unnest(list_zip(range(1, len(l) + 1), l, l[2:], l[3:])) AS z FROM (SELECT doc_id, string_split({_FOLDED.format('text')}, '') AS l FROM documents))"
+#: A line that documents hold, longer than what the table keeps of a suffix.
+_LONG = "licensed under the apache license, version 2.0."
+
+
+def _looked_up(x: str) -> str:
+    first = f"SELECT CAST(count(*) FILTER (three < '{x[:3]}') AS BIGINT) AS less, count(*) FILTER (three = '{x[:3]}') AS n FROM ({_CHARS})"
+    if len(x) <= 3:
+        return f"SELECT less AS below, CAST(less + n AS BIGINT) AS through FROM ({first})"
+    part = f"substring({_FOLDED.format('text')}, CAST(p AS BIGINT), {len(x)})"
+    near = f"SELECT count(*) FILTER (part < '{x}') AS a, count(*) FILTER (part <= '{x}') AS b FROM (SELECT {part} AS part FROM (SELECT doc_id, p FROM ({_CHARS}) WHERE three = '{x[:3]}') JOIN documents USING (doc_id))"
+    return f"SELECT CAST(less + a AS BIGINT) AS below, CAST(less + b AS BIGINT) AS through FROM ({first}), ({near})"
+
+
+@query(" UNION ALL ".join(f"SELECT '{x}' AS literal, below, through FROM ({_looked_up(x)})" for x in ("the", _LONG)))
 def literal_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffixes.lookup(_suffixes(spark, sf_dir), "The")
+    """Places of literals among all suffixes of documents."""
+    found = _suffixes(spark, sf_dir)
+    one, two = (suffixes.lookup(found, docs_of(spark, sf_dir), x).withColumn("literal", F.lit(x)) for x in ("the", _LONG))
+    return one.unionByName(two)
 
 
-@query(f"SELECT doc_id, pos FROM ({_SUFFIXES}) WHERE starts_with(suffix, 'in the')")
+@query(f"SELECT doc_id, CAST(sum(length(part)) OVER (PARTITION BY doc_id ORDER BY i) + (i - 1) * {len(_LONG)} AS BIGINT) AS pos FROM (SELECT doc_id, i, s[i] AS part, len(s) AS n FROM (SELECT doc_id, s, unnest(range(1, len(s))) AS i FROM (SELECT doc_id, string_split({_FOLDED.format('text')}, '{_LONG}') AS s FROM documents)))")
 def phrase_adjacent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffixes.adjacent(_suffixes(spark, sf_dir), ["in", " t", "he"])
+    """Where pieces, one of them longer than what the table keeps of a suffix, stand one right behind another."""
+    return suffixes.adjacent(_suffixes(spark, sf_dir), docs_of(spark, sf_dir), [_LONG[:3], _LONG[3:40], _LONG[40:]])
 
 
 @query("SELECT CAST(greatest(a, x) AS BIGINT) AS low, CAST(least(b, y) AS BIGINT) AS high FROM (VALUES (65, 300), (97, 122), (2000, 70000)) r(a, b), (VALUES (0, 127), (128, 2047), (2048, 65535), (65536, 1114111)) s(x, y) WHERE greatest(a, x) <= least(b, y)")
@@ -246,3 +359,189 @@ def scan_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_by_doc("of (the|an)", "benchmark", "text", "item_id"))
 def scan_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.count_by_doc(table(spark, sf_dir, "benchmark"), "of (?P<article>the|an)", id_col="item_id")
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id >= 100 AND doc_id < 150")
+def doc_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.doc_ids(docs_of(spark, sf_dir), 100, 150)
+
+
+@query("SELECT * FROM (SELECT doc_id, CAST(e - strlen(text) AS BIGINT) AS doc_start, CAST(e AS BIGINT) AS doc_end FROM (SELECT doc_id, text, sum(strlen(text)) OVER (ORDER BY doc_id) AS e FROM documents)) WHERE doc_id = 77")
+def doc_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.bounds_of(docs_of(spark, sf_dir), 77)
+
+
+def _plain_path(path: str) -> str:
+    return fs.FileSystem.from_uri(path)[1] if "://" in path or path.startswith("file:") else path
+
+
+def _as_files(rows: DataFrame, path: str) -> str:
+    """Write (name, content) rows as files of their own."""
+    folder = _plain_path(path)
+    fs.LocalFileSystem().create_dir(f"{folder}/sub")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                with open(f"{folder}/{name}", "wb") as f:
+                    f.write(content)
+            yield batch.select(["name"])
+
+    rows.select("name", F.col("content").cast("binary").alias("content")).mapInArrow(run, "name string").count()
+    return folder
+
+
+_NAME = "CASE WHEN item_id % 3 = 0 THEN '.' WHEN item_id % 3 = 1 THEN 'sub/' ELSE '' END || 'item-' || lpad(CAST(item_id AS VARCHAR), 8, '0')"
+
+
+def _item_files(spark: SparkSession, sf_dir: str) -> str:
+    """The items as files, some hidden and some in a folder below."""
+    name = F.concat(F.when(F.col("item_id") % 3 == 0, ".").when(F.col("item_id") % 3 == 1, "sub/").otherwise(""), F.lit("item-"), F.lpad(F.col("item_id").cast("string"), 8, "0"))
+    return _written(spark, sf_dir, "files", lambda path: _as_files(table(spark, sf_dir, "benchmark").select(name.alias("name"), F.col("text").alias("content")), path))
+
+
+@query(f"SELECT row_number() OVER (ORDER BY {_NAME}) - 1 AS doc_id, {_NAME} AS name, text, true AS valid FROM benchmark WHERE strlen(text) <= 250")
+def source_directory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files below a folder, numbered by their paths, larger ones left out."""
+    path = _plain_path(_item_files(spark, sf_dir))
+    found = sources.directory(spark, path, max_file=250)
+    return found.select("doc_id", F.expr(f"substring(path, {len(path) + 2})").alias("name"), "text", "valid")
+
+
+@query(f"SELECT row_number() OVER (ORDER BY {_NAME}) - 1 AS doc_id, text FROM benchmark WHERE regexp_matches(text, 'the')")
+def source_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A corpus and its index built from a folder, left alone by a second build that finds them, and searched."""
+    path, out = _item_files(spark, sf_dir), Scratch(spark).path("built")
+    sources.build_index(spark, out, directory_path=_plain_path(path))
+    docs = sources.build_index(spark, out, text="nothing of this is written", if_absent=True)
+    every = sources.directory(spark, _plain_path(path)).select("doc_id").count()
+    found = search.search(docs, "the", index=index.load(spark, f"{out}/index"), ordered=True)
+    # ids are those of all files, in the order of their names
+    return found.where(F.col("doc_id") < every).select("doc_id", F.col("content").alias("text"))
+
+
+ORACLES["source_index"] = f"SELECT doc_id, text FROM (SELECT row_number() OVER (ORDER BY {_NAME}) - 1 AS doc_id, text FROM benchmark) WHERE regexp_matches(text, 'the')"
+
+
+@query("SELECT CAST(0 AS BIGINT) AS doc_id, 'one' AS path, 'only needle' AS text, true AS valid")
+def source_string(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sources.string(spark, "only needle", "one").select("doc_id", "path", "text", "valid")
+
+
+@query("SELECT item_id AS doc_id, sha256(text) AS digest FROM benchmark")
+def corpus_reopened(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A corpus written, sorted by id, and opened again into the cache."""
+    docs = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
+    written = sources.write_corpus(docs, Scratch(spark).path("corpus"))
+    written = sources.open_corpus(spark, written.inputFiles()[0].rpartition("/")[0], cache=True)
+    return written.select("doc_id", F.sha2("text", 256).alias("digest"))
+
+
+@query("SELECT CAST(item_id AS VARCHAR) || chr(9) || CAST(strlen(s[1]) AS VARCHAR) || chr(9) || CAST(strlen(s[1]) + 4 AS VARCHAR) || chr(9) || 'tion' AS line FROM (SELECT item_id, string_split(text, 'tion') AS s FROM benchmark) WHERE len(s) = 2")
+def result_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matches written as lines of text: those of the items with one match."""
+    items = table(spark, sf_dir, "benchmark")
+    once = search.count_by_doc(items, "tion", id_col="item_id").where("n_matches = 1").withColumnRenamed("doc_id", "item_id")
+    path = Scratch(spark).path("lines")
+    sources.write_results(items.join(once, "item_id", "left_semi"), "tion", path, id_col="item_id")
+    return spark.read.text(path).withColumnRenamed("value", "line")
+
+
+@query(f"SELECT CAST(r AS INTEGER) AS run, n_matches FROM ({_count('the', 'benchmark')}), (VALUES (0), (1)) v(r)")
+def search_repeated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated searches with their counts and times (the times are left out here)."""
+    return search.timed(table(spark, sf_dir, "benchmark"), "the", 2, id_col="item_id").select("run", "n_matches")
+
+
+@query("SELECT * FROM (VALUES ('names', CAST(0 AS BIGINT), CAST(3 AS BIGINT), CAST(300 AS BIGINT), NULL, NULL, false), ('blobs', 1, 5, 70000, 9, 12, false), (NULL, NULL, NULL, NULL, NULL, NULL, true)) v(tag, kind, data_offset, data_size, index_offset, index_size, failed)")
+def foreign_toc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table of contents of a foreign index file, and the error of one that is cut short."""
+
+    def text(s: str) -> bytes:
+        return bytes([len(s)]) + s.encode()
+
+    def places(*numbers: int) -> bytes:
+        return b"".join(n.to_bytes(4, "big") for n in numbers)
+
+    toc = places(0) + text("names") + b"\0" + places(3, 300) + text("blobs") + b"\1" + places(5, 70000, 9, 12)
+    good = b"data" + toc + places(4, len(toc))
+    path = _as_files(spark.createDataFrame([("good", bytearray(good)), ("short", bytearray(good[:-12]))], "name string, content binary"), Scratch(spark).path("foreign"))
+    return foreign.read_toc(spark, path).select("tag", "kind", "data_offset", "data_size", "index_offset", "index_size", F.col("error").isNotNull().alias("failed"))
+
+
+@query("SELECT item_id, 'r' || item_id AS name, CAST(item_id % 7 AS INTEGER) AS \"rank\", item_id % 2 = 0 AS tombstone, 'main' AS branch, CAST(length(text) AS BIGINT) AS below FROM benchmark")
+def repo_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repositories' metadata from JSON, those below them included."""
+    i = F.col("item_id")
+    below = F.create_map(F.lit("sub"), F.struct(F.length("text").cast("long").alias("ID")))
+    made = F.to_json(F.struct(i.alias("ID"), F.concat(F.lit("r"), i.cast("string")).alias("Name"), (i % 7).alias("Rank"), (i % 2 == 0).alias("Tombstone"), F.array(F.struct(F.lit("main").alias("name"), F.lit("v1").alias("version"))).alias("Branches"), below.alias("SubRepoMap")))
+    m = foreign.with_metadata(table(spark, sf_dir, "benchmark").select("item_id", made.alias("json")))
+    return m.select("item_id", F.col("metadata.Name").alias("name"), F.col("metadata.Rank").alias("rank"), F.col("metadata.Tombstone").alias("tombstone"), F.col("metadata.Branches")[0]["name"].alias("branch"), F.get_json_object(F.col("metadata.SubRepoMap")["sub"], "$.ID").cast("long").alias("below"))
+
+
+#: Pattern, kind of plan, cardinality and pieces.
+_PLANS = [
+    ("needle", "inexact", 1, "needle"),
+    ("(?i)needle", "exact", 1, "needle"),
+    ("(?i)task", "exact", 4, "task|tas\u212a|ta\u017fk|ta\u017f\u212a"),
+    (r"\w+", "none", 0, ""),
+    ("ab.*cd", "none", 0, ""),
+    ("alpha_.*_omega", "inexact", 2, "_omega;alpha_"),
+    ("(foo|bar)baz", "inexact", 2, "barbaz|foobaz"),
+    ("x+yz{2}abc", "inexact", 1, "yzzabc"),
+    ("[a-c]at[s-t]s", "inexact", 6, "aatss|aatts|batss|batts|catss|catts"),
+]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{p}', '{k}', CAST({n} AS BIGINT), '{x}')" for p, k, n, x in _PLANS) + ") v(pattern, kind, cardinality, pieces)")
+def plan_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the planner makes of patterns: extraction, folding, expansion, pieces."""
+    plans = [(p, literals.plan(p)) for p, *_ in _PLANS]
+    return spark.createDataFrame([(p, x.kind, x.cardinality, ";".join("|".join(piece) for piece in x.pieces)) for p, x in plans], "pattern string, kind string, cardinality long, pieces string")
+
+
+@query("SELECT n, k, i AS part, n // k + CASE WHEN i < n % k THEN 1 ELSE 0 END AS size FROM (SELECT n, k, unnest(range(k)) AS i FROM (VALUES (CAST(7 AS BIGINT), CAST(3 AS BIGINT)), (8, 4), (2, 5), (128, 9)) v(n, k))")
+def plan_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs split into shares of even size."""
+    rows = [(n, k, i, len(x)) for n, k in ((7, 3), (8, 4), (2, 5), (128, 9)) for i, x in enumerate(literals.split_evenly(tuple(range(n)), k))]
+    return spark.createDataFrame(rows, "n long, k long, part long, size long")
+
+
+_ALGEBRA = {"[a-m&&[g-z]]": "c BETWEEN 103 AND 109", "[a-z--[aeiou]]": "c BETWEEN 97 AND 122 AND c NOT IN (97, 101, 105, 111, 117)", "[a-m~~g-z]": "c BETWEEN 97 AND 102 OR c BETWEEN 110 AND 122", "[a-cx[0-2]]": "c BETWEEN 97 AND 99 OR c = 120 OR c BETWEEN 48 AND 50", "(?i)[j-l]": "c BETWEEN 106 AND 108 OR c BETWEEN 74 AND 76 OR c = 8490", "[^\\x{0}-\\x{fffe}\\x{10000}-\\x{10ffff}]": "c = 65535"}
+
+
+@query(" UNION ALL ".join(f"SELECT '{p.replace(chr(92) * 2, chr(92))}' AS class, CAST(c AS BIGINT) AS point FROM range(0, 1114112) r(c) WHERE {w}" for p, w in _ALGEBRA.items()))
+def class_algebra(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Intersections, differences, symmetric differences, unions, folds and complements of classes, by code point."""
+    names = [p.replace("\\\\", "\\") for p in _ALGEBRA]
+    rows = [(p, a, b) for p in names for a, b in dialect.code_points(dialect.simplify(dialect.parse(p)))]
+    return spark.createDataFrame(rows, "class string, a long, b long").select("class", F.explode(F.sequence("a", "b")).alias("point"))
+
+
+_BAD = ["(a)\\1", "a(?=b)", "[[:foo:]]", "a{2", "(", ")", "*", "[a", "a{3,2}", "(?>a)"]
+
+
+@query("SELECT p AS pattern, true AS rejected FROM (VALUES " + ", ".join(f"('{p}')" for p in _BAD).replace(chr(92) * 2, chr(92)) + ") v(p) UNION ALL SELECT 'a{1001}', false UNION ALL SELECT '(a|b)+', false")
+def rejected_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Patterns that are refused with an error, and some that aren't."""
+
+    def rejected(p: str) -> bool:
+        try:
+            dialect.parse(p)
+        except dialect.PatternError:
+            return True
+        return False
+
+    return spark.createDataFrame([(p, rejected(p)) for p in (*(x.replace("\\\\", "\\") for x in _BAD), "a{1001}", "(a|b)+")], "pattern string, rejected boolean")
+
+
+@query("SELECT item_id, text || chr(65533) AS text, false AS valid FROM benchmark")
+def lossy_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes that aren't UTF-8, as text with a replacement."""
+    raw = F.concat(F.encode("text", "UTF-8"), F.unhex(F.lit("FF")))
+    return table(spark, sf_dir, "benchmark").select("item_id", corpus.valid_text(raw).alias("text"), F.is_valid_utf8(raw.cast("string")).alias("valid"))
+
+
+@query("SELECT * FROM (VALUES ('256MB', CAST(256000000 AS BIGINT)), ('2 MiB', 2097152), ('7', 7), ('1.5k', 1500), ('3GiB', 3221225472)) v(size, bytes)")
+def parsed_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([(s, sources.parse_size(s)) for s in ("256MB", "2 MiB", "7", "1.5k", "3GiB")], "size string, bytes long")

@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import os
-from pathlib import Path
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+import pyarrow.fs as fs
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.operators.order import running
 from quarry.operators.search import search
+from quarry.session import Scratch
 
 MAX_FILE = 2 << 20
 
@@ -23,45 +28,74 @@ def parse_size(text: str) -> int:
     return int(float(number) * scale[unit])
 
 
-def numbered(files: DataFrame) -> DataFrame:
+def numbered(files: DataFrame, scratch: Scratch) -> DataFrame:
     """Rows (path, ...) with doc_id, 0 for the first path, in the order of paths."""
-    parted = files.repartitionByRange("path").withColumn("part", F.spark_partition_id())
-    inside = Window.partitionBy("part").orderBy("path")
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = parted.groupBy("part").count().select("part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("first"))
-    return parted.withColumn("inside", F.row_number().over(inside)).join(F.broadcast(sizes), "part").withColumn("doc_id", F.col("first") + F.col("inside") - 1).drop("part", "inside", "first")
+    names = files.columns
+    return running(files.withColumn("_one", F.lit(1).cast("long")), ["path"], "_one", scratch).select(F.col("before").alias("doc_id"), *names)
 
 
-def directory(spark: SparkSession, path: str, max_file: int = MAX_FILE, hidden: bool = True) -> DataFrame:
-    """(doc_id, path, content, text, valid) of all regular files below a directory, of at most max_file bytes.
+def _listed(spark: SparkSession, path: str, max_file: int) -> DataFrame:
+    """(path, size) of the regular files below a path, hidden ones too, of at most max_file bytes.
 
-    Spark's file source leaves out names with a leading dot or underscore. With ``hidden``, a local
-    directory is walked instead, and the files are read by path in the tasks; unreadable ones are
-    left out. ``valid`` tells whether the bytes were UTF-8; where not, text has replacements.
+    The driver lists the first level; tasks list what is below, so that no machine lists it all. A
+    task that can't see the path at all fails, instead of finding nothing; single entries that
+    can't be read are left out.
     """
-    if hidden and os.path.isdir(path):
-        found = sorted(str(p) for p in Path(path).rglob("*") if p.is_file() and not p.is_symlink())
-        listed = spark.createDataFrame([(p,) for p in found], "path string")
-
-        def read(batches):
-            import pyarrow as pa
-
-            for batch in batches:
-                names, raw = [], []
-                for p in batch.column(0).to_pylist():
+    store, root = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), os.path.abspath(path))
+    local = isinstance(store, fs.LocalFileSystem)
+    first = store.get_file_info(fs.FileSelector(root))
+    entries = spark.createDataFrame([(x.path, x.type == fs.FileType.Directory, x.size) for x in first], "path string, folder boolean, size long")
+    entries = entries.repartition(max(1, min(len(first), 4 * spark.sparkContext.defaultParallelism)), "path")
+
+    def below(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        there = fs.FileSystem.from_uri(path)[0] if "://" in path else fs.LocalFileSystem()
+        for batch in batches:
+            if there.get_file_info(root).type != fs.FileType.Directory:
+                raise FileNotFoundError(f"{root} isn't a folder on this machine; all executors must share it")
+            out = []
+            waiting = [(r["path"], r["folder"], r["size"]) for r in batch.to_pylist()]
+            while waiting:
+                name, folder, size = waiting.pop()
+                if local and os.path.islink(name):
+                    continue
+                if folder:
                     try:
-                        if os.path.getsize(p) <= max_file:
-                            raw.append(Path(p).read_bytes())
-                            names.append(p)
+                        waiting += [(x.path, x.type == fs.FileType.Directory, x.size) for x in there.get_file_info(fs.FileSelector(name)) if x.type in (fs.FileType.Directory, fs.FileType.File)]
                     except OSError:
                         continue
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(raw, pa.binary())], names=["path", "content"])
+                elif size is not None and size <= max_file and (not local or os.path.isfile(name) and os.access(name, os.R_OK)):
+                    out.append((name, size))
+            yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in out], pa.string()), pa.array([k for _, k in out], pa.int64())], names=["path", "size"])
+
+    return entries.mapInArrow(below, "path string, size long")
 
-        files = listed.mapInArrow(read, "path string, content binary")
+
+def directory(spark: SparkSession, path: str, max_file: int = MAX_FILE, hidden: bool = True) -> DataFrame:
+    """(doc_id, path, content, text, valid) of all regular files below a directory, of at most max_file bytes.
+
+    Spark's file source leaves out names with a leading dot or underscore; with ``hidden`` they are
+    there. Paths may be local ones, on a file system that all executors share, or URIs. ``valid``
+    tells whether the bytes were UTF-8; where not, text has replacements.
+    """
+    scratch = Scratch(spark)
+    if hidden:
+        def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            there = fs.FileSystem.from_uri(path)[0] if "://" in path else fs.LocalFileSystem()
+            for batch in batches:
+                # contents leave a few files at a time
+                for lo in range(0, batch.num_rows, 16):
+                    some = batch.slice(lo, 16)
+                    raw = [there.open_input_stream(p).read() for p in some.column(1).to_pylist()]
+                    yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(raw, pa.binary())], names=["doc_id", "path", "content"])
+
+        # the numbers are given to names, and no content is sorted
+        files = numbered(_listed(spark, path, max_file), scratch).select("doc_id", "path")
+        files = files.repartition(4 * spark.sparkContext.defaultParallelism, "path").mapInArrow(read, "doc_id long, path string, content binary")
     else:
-        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).where(F.col("length") <= max_file).select("path", "content")
+        found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).where(F.col("length") <= max_file)
+        files = numbered(found.select("path"), scratch).join(found.select("path", "content"), "path")
     text = F.col("content").cast("string")
-    return numbered(files).select("doc_id", "path", "content", F.make_valid_utf8(text).alias("text"), F.is_valid_utf8(text).alias("valid"))
+    return files.select("doc_id", "path", "content", F.make_valid_utf8(text).alias("text"), F.is_valid_utf8(text).alias("valid"))
 
 
 def string(spark: SparkSession, text: str, path: str = "string") -> DataFrame:
@@ -75,9 +109,10 @@ def write_corpus(docs: DataFrame, path: str, mode: str = "overwrite") -> DataFra
     return open_corpus(docs.sparkSession, path)
 
 
-def open_corpus(spark: SparkSession, path: str, cache: bool = False) -> DataFrame:
+def open_corpus(spark: SparkSession, path: str, cache: bool = False, level: StorageLevel = StorageLevel.MEMORY_AND_DISK_DESER) -> DataFrame:
+    """A written corpus; cached at a storage level, whose size Spark's own memory settings bound."""
     docs = spark.read.parquet(path)
-    return docs.persist() if cache else docs
+    return docs.persist(level) if cache else docs
 
 
 def build_index(spark: SparkSession, out: str, directory_path: str | None = None, text: str | None = None, max_file: int = MAX_FILE, if_absent: bool = False) -> DataFrame:

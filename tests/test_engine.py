@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import os
+import random
 
 import pytest
 
-from quarry.operators import corpus, index, search, suffixes
+from quarry.functions import dialect
+from quarry.operators import corpus, index, order, search, suffixes
+from quarry.plans import literals
+from quarry.plans.literals import fold
+from quarry.session import Scratch, released, shared_dir
 from quarry.sources import corpus as sources
 from quarry.sources import foreign
 from quarry.streaming import watch
@@ -58,13 +63,91 @@ def test_doc_ends(spark):
     assert corpus.facts(rows).first() == (7, 6, 100)
 
 
-def test_suffixes(spark):
-    rows = suffixes.suffixes(spark.createDataFrame([(0, "Banana"), (1, "an")], "doc_id long, text string"))
-    table = suffixes.ranked(rows).orderBy("rank").collect()
-    assert [(r.suffix, r.doc_id, r.pos) for r in table] == sorted((t[i:], d, i) for d, t in ((0, "banana"), (1, "an")) for i in range(len(t)))
-    assert [r["rank"] for r in table] == list(range(8))
-    assert suffixes.lookup(rows, "AN").first() == (1, 4)
-    assert {tuple(r) for r in suffixes.adjacent(rows, ["an", "an"]).collect()} == {(0, 1)}
+@pytest.mark.parametrize("key", [32, 4])
+def test_suffixes(spark, tmp_path, monkeypatch, key):
+    """Whole suffixes decide, in copies, shared passages and runs of one character too."""
+    monkeypatch.setattr(suffixes, "KEY", key)
+    monkeypatch.setattr(suffixes, "BLOCK", 100)
+    rng = random.Random(3)
+    base = "".join(rng.choices("ab \n", k=150))
+    texts = [base, base, base[:90], base[30:] + "x", "", "Banana", " " * 70, "é" * 40 + "Ab"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    table = suffixes.build(docs, str(tmp_path / "table"), key)
+    want = sorted((fold(t)[i:].encode(), d, i) for d, t in enumerate(texts) for i in range(len(t)))
+    rows = table.orderBy("rank").collect()
+    assert [(r.doc_id, r.pos) for r in rows] == [(d, i) for _, d, i in want]
+    assert [(r["rank"], r.block, r.slot) for r in rows] == [(i, i // 100, i % 100) for i in range(len(want))]
+    assert [r["rank"] for r in suffixes.blocks(table, 1, 2).collect()] == list(range(100, 300)) and suffixes.block(table, 0).count() == 100
+    assert suffixes.at_rank(table, docs, 7).first().content == texts[want[7][1]][want[7][2] :]
+    for literal in ["A", "Ban", base[10:110], base[:33], "zz", base[10:60] + "q", " " * 50, " " * 71, base]:
+        k = fold(literal).encode()
+        below = sum(w[0] < k for w in want)
+        there = [(d, i) for w, d, i in want if w.startswith(k)]
+        assert tuple(suffixes.lookup(table, docs, literal).first()) == (below, below + len(there)), literal
+        assert sorted(map(tuple, suffixes.occurrences(table, docs, literal).collect())) == sorted(there), literal
+    assert {tuple(r) for r in suffixes.adjacent(table, docs, ["an", "an"]).collect()} == {(5, 1)}
+    assert {tuple(r) for r in suffixes.adjacent(table, docs, [base[:50], base[50:140]]).collect()} == {(0, 0), (1, 0)}
+    none = suffixes.build(docs.limit(0), str(tmp_path / "none"), key)
+    assert none.count() == 0 and tuple(suffixes.lookup(none, docs, "a").first()) == (0, 0)
+
+
+@pytest.mark.parametrize("pattern", ["(a|b)+c", "(a+)+$", "(?:ab|ba)+", r"\b(?:\w+ )+x", r"(?:a?){30}a{30}"])
+def test_no_text_is_too_much(spark, pattern):
+    """A megabyte on which backtracking matchers run out of stack or time."""
+    texts = ["ab" * 500_000, "a" * 1_000_000 + "!", "ab " * 300_000, "ababc", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    small = [t and t[:40] + t[-1:] for t in texts]
+    want = {"(a|b)+c": [0, 0, 0, 1], "(a+)+$": [0, 0, 0, 0], "(?:ab|ba)+": [1, 0, 300_000, 1], r"\b(?:\w+ )+x": [0, 0, 0, 0], r"(?:a?){30}a{30}": [0, 1_000_000 // 60 + 1, 0, 0]}[pattern]
+    got = {r.doc_id: r.n_matches for r in search.count_by_doc(docs, pattern).collect()}
+    assert got == {i: n for i, n in enumerate(want) if n}
+    compiled = dialect.to_python(pattern)
+    few = spark.createDataFrame(list(enumerate(small)), "doc_id long, text string")
+    if pattern != r"(?:a?){30}a{30}":
+        assert sorted((r.doc_id, [tuple(m) for m in r.matches]) for r in search.search(few, pattern).collect()) == [(i, f) for i, t in enumerate(small) if t and (f := dialect.find_all(compiled, t))]
+
+
+def test_ordered_and_required(docs):
+    assert [r.doc_id for r in search.search(docs.repartition(3), "needle", ordered=True).collect()] == [2, 3]
+    assert search.required(dialect.simplify(dialect.parse("(?:ab+c.*de|f)gh(?i)x"))) == ["gh"] and search.required(dialect.parse("ab+c.*d")) == ["ab", "c", "d"]
+    assert {p: search.in_jvm(p) for p in ("License", r"\d{3}-\d{4}", "of (the|an)", "a+", "(?:ab){9}", "x*", "(?:a?){30}a{30}")} == {"License": True, r"\d{3}-\d{4}": True, "of (the|an)": True, "a+": False, "(?:ab){9}": True, "x*": False, "(?:a?){30}a{30}": False}
+
+
+def test_chunks_and_shares(spark, docs, monkeypatch):
+    """An index of many small chunks, and one whose lookups are left to the cluster, find the same."""
+    small = index.Index(index.postings(docs.coalesce(1), chunk=20).persist(), index.frequencies(index.postings(docs)))
+    assert small.postings.select("chunk").distinct().count() > 3
+    for kept in (1 << 20, 0):
+        monkeypatch.setattr(index, "KEPT", kept)
+        monkeypatch.setattr(index, "INTERSECTED", kept)
+        one = index.Index(small.postings, small.frequencies)
+        assert (one.kept is None) == (not kept)
+        for pattern in ("needle", "(?i)needle", "document[12]", "zzz", "needle.*another"):
+            assert search.count_matches(docs, pattern, index=one).first() == search.count_matches(docs, pattern).first()
+    monkeypatch.setattr(search, "LISTED", 0)
+    monkeypatch.undo()
+    found = index.probe(small, literals.plan("needle"), share=0.1)
+    assert found.needs == () and index.candidates(small, literals.plan("needle"), share=0.1) is None
+    assert sorted(index.rows(small.postings).where("gram = 'nee'").select("doc_id").toPandas().doc_id) == [2, 3, 4]
+
+
+def test_running_totals(spark):
+    """Ids of any type and spread; ties; empty tables."""
+    rows = spark.createDataFrame([("b", 2), ("a", 1), ("zz", 7), ("b", 2), ("c", 0)], "k string, n long").repartition(4)
+    got = sorted((r.k, r.n, r.before) for r in order.running(rows, ["k", "n"], "n", Scratch(spark)).collect())
+    assert got == [("a", 1, 0), ("b", 2, 1), ("b", 2, 3), ("c", 0, 5), ("zz", 7, 5)]
+    wide = spark.createDataFrame([(10**15, "abc"), (3, "é"), (-5, "x"), (4, None)], "doc_id long, text string")
+    bounds = {r.doc_id: (r.doc_start, r.doc_end) for r in corpus.doc_bounds(wide).collect()}
+    assert bounds == {-5: (0, 1), 3: (1, 3), 4: (3, 3), 10**15: (3, 6)}
+    assert tuple(corpus.bounds_of(wide, 3).first()) == (3, 1, 3) and corpus.bounds_of(wide, 7).count() == 0
+
+
+def test_shared_folder(spark):
+    assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+    with released():
+        made = Scratch(spark)
+        kept = made.cut(spark.range(3), "x")
+        assert kept.count() == 3 and os.path.isdir(made.root)
+    assert not os.path.isdir(made.root)
 
 
 def test_sources(spark, tmp_path):
@@ -75,7 +158,11 @@ def test_sources(spark, tmp_path):
     (d / "sub" / "deep").write_text("x" * 200)
     got = sources.directory(spark, str(d), max_file=100).orderBy("doc_id").collect()
     assert [(r.doc_id, os.path.basename(r.path), r.valid) for r in got] == [(0, ".dot", False), (1, "plain", True)]
-    assert sources.directory(spark, str(d), hidden=False).count() == 2
+    assert got[1].content == b"needle here" and got[0].text == "bad \ufffd needle"
+    assert [(r.doc_id, os.path.basename(r.path)) for r in sources.directory(spark, str(d), hidden=False).orderBy("doc_id").collect()] == [(0, "plain"), (1, "deep")]
+    assert sources.directory(spark, f"file://{d}").count() == 3
+    with pytest.raises(FileNotFoundError):
+        sources.directory(spark, str(tmp_path / "none"))
     out = str(tmp_path / "out")
     built = sources.build_index(spark, out, directory_path=str(d))
     found = index.load(spark, f"{out}/index")
