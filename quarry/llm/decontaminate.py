@@ -4,7 +4,8 @@ Words are runs of ASCII digits, letters and all bytes of non-ASCII characters, a
 A-Z. The windows of the items (n consecutive words; an item with fewer words, but some, is one
 window) are hashed. A size-checked table of these hashes goes to all workers, which roll over
 the words of each whole text in numpy, look every window up and compare hits word by word. A
-table beyond the bound is scanned in blocks, each within it, and the hits are put together.
+table beyond the bound is scanned in blocks, each within it, one pass after another; each pass adds
+its hits to the rows, and only after the last one are spans made of them.
 
 Defined results: null and empty texts have no words and no hits; an empty benchmark hits
 nothing; null item ids read as the text "null"; repeated items and rows count as given (an item
@@ -15,12 +16,13 @@ named columns are read by ``scan`` and ``digests``; ``remove`` keeps all columns
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import store
 from .kernels import U64, code_points, flat, lower_ascii, mix, pieces, powers, range_hash, rows_of, spans
@@ -80,7 +82,7 @@ class Table:
             self.sizes[n] = keys, sieve, dict(found)
 
     def hits(self, low: np.ndarray, s: np.ndarray, e: np.ndarray, bounds: np.ndarray) -> list[tuple[int, int, int, list[str]]]:
-        """(text, first word, words, items) of every verified window."""
+        """(text, first word in it, words, items) of every verified window."""
         out = []
         h = range_hash(low, s, e) if self.sizes and len(s) else np.empty(0, U64)
         for n, (keys, sieve, found) in self.sizes.items():
@@ -96,12 +98,16 @@ class Table:
                 text = b" ".join(low[s[k] : e[k]].tobytes() for k in range(i, i + n))
                 for known, items in found[x]:
                     if known == text:
-                        out.append((d, i, n, items))
+                        out.append((d, i - int(bounds[d]), n, items))
         return out
 
 
-def build(benchmark: DataFrame, n: int, item_col: str, text_col: str, max_bytes: int) -> list[Table]:
-    """The window tables of the benchmark: one, or as many blocks as keep each within max_bytes."""
+#: What a window takes in a worker's memory, beside its bytes.
+ROW_BYTES = 512
+
+
+def build(benchmark: DataFrame, n: int, item_col: str, text_col: str, max_bytes: int) -> Iterator[Table]:
+    """The window tables of the benchmark: one, or as many blocks as keep each within max_bytes; one is in memory at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -111,27 +117,17 @@ def build(benchmark: DataFrame, n: int, item_col: str, text_col: str, max_bytes:
 
     spark = benchmark.sparkSession
     store.tune(spark)
+    scratch = store.Scratch(spark)
     rows = benchmark.select(F.col(item_col).cast("string"), text_col).mapInArrow(run, "window binary, item string").distinct()
-    rows = store.Scratch(spark).cut(rows, "windows")
-    size = rows.agg(F.coalesce(F.sum(F.length("window") + F.length("item") + 160), F.lit(0))).first()[0]
+    rows = scratch.cut(rows, "windows")
+    size = rows.agg(F.coalesce(F.sum(F.length("window") + F.length("item") + ROW_BYTES), F.lit(0))).first()[0]
     blocks = -(-size // max_bytes) or 1
-    out = []
     for b in range(blocks):
         found: dict[bytes, list[str]] = defaultdict(list)
         for w, i in rows.where(F.pmod(F.xxhash64("window"), F.lit(blocks)) == b).collect():
             found[bytes(w)].append(i)
-        out.append(Table([(w, sorted(i)) for w, i in found.items()]))
-    return out
-
-
-def _scan_batch(table: Table, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, dict[int, list[tuple[int, int, list[str]]]], np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    buf, offs = flat(texts)
-    for lo, hi, b, o in pieces(buf, offs):
-        low, s, e, bounds = words(b, o)
-        by: dict[int, list[tuple[int, int, list[str]]]] = defaultdict(list)
-        for d, i, n, items in table.hits(low, s, e, bounds):
-            by[d].append((i, n, items))
-        yield lo, np.diff(bounds), by, s, e, b, np.stack([bounds[:-1], o[:-1]])
+        yield Table([(w, sorted(i)) for w, i in found.items()])
+    scratch.close()
 
 
 def _merged(parts: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -148,113 +144,108 @@ SCHEMA = "n_words long, n_hit long, items array<string>, spans array<struct<star
 _ARROW = [pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
 
 
-def _find(table: Table, texts: pa.Array) -> tuple[list, list, list, list]:
-    """n_words, n_hit, items and code-point spans of each text."""
-    n_words, n_hit, items, found = [], [], [], []
-    for _, counts, by, s, e, b, (first, start) in _scan_batch(table, texts):
-        cp = code_points(b) if by else None
-        for d, n in enumerate(counts.tolist()):
-            n_words.append(n)
-            runs = _merged([(i, i + k) for i, k, _ in by[d]]) if d in by else []
-            n_hit.append(sum(y - x for x, y in runs))
-            items.append(sorted({i for _, _, many in by[d] for i in many}) if d in by else [])
-            found.append([{"start": int(cp[s[x]] - cp[start[d]]), "end": int(cp[e[y - 1]] - cp[start[d]])} for x, y in runs])
-    return n_words, n_hit, items, found
+_FOUND = T.StructType().add("found_items", T.ArrayType(T.StringType())).add("found_runs", T.ArrayType(T.StructType().add("start", T.LongType()).add("end", T.LongType())))
+
+
+def _hits(table: Table, texts: pa.Array, items: list, runs: list) -> tuple[list, list, list]:
+    """Each text's number of words, items and runs of hit words (first, past the last), those of earlier blocks included."""
+    n_words = []
+    items, runs = [list(x or ()) for x in items], [[(r["start"], r["end"]) for r in x or ()] for x in runs]
+    for lo, _, b, o in pieces(*flat(texts)):
+        low, s, e, bounds = words(b, o)
+        n_words += np.diff(bounds).tolist()
+        for d, i, n, some in table.hits(low, s, e, bounds):
+            runs[lo + d].append((i, i + n))
+            items[lo + d] += some
+    return n_words, [sorted(set(x)) if x else x for x in items], [_merged(x) if x else x for x in runs]
+
+
+def _spans(text: str, runs: list[tuple[int, int]]) -> list[dict[str, int]]:
+    """A text's runs of words as code points."""
+    if not runs:
+        return []
+    b = np.frombuffer(text.encode(), np.uint8)
+    _, s, e, _ = words(b, np.array([0, len(b)]))
+    cp = code_points(b)
+    return [{"start": int(cp[s[x]]), "end": int(cp[e[y - 1]])} for x, y in runs]
+
+
+Finish = Callable[[list[pa.Array], list[int], list[list[str]], list[list[tuple[int, int]]]], pa.RecordBatch]
+
+
+def _scanned(docs: DataFrame, tables: Iterator[Table], at: int, finish: Finish, out: str | T.StructType) -> DataFrame:
+    """A pass over docs for each table, each written before the next one begins; the last one's rows are what ``finish`` makes of the columns, numbers of words, items and runs."""
+    scratch = store.Scratch(docs.sparkSession)
+    width = len(docs.columns)
+    between = T.StructType([*docs.schema.fields, *_FOUND.fields])
+    names = between.names
+    k, table = 0, next(tables)
+    while table is not None:
+        following = next(tables, None)
+        shared = docs.sparkSession.sparkContext.broadcast(table)
+
+        def run(batches: Iterator[pa.RecordBatch], first: bool = not k, last: bool = following is None, shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                n = batch.num_rows
+                before = [[None] * n, [None] * n] if first else [c.to_pylist() for c in batch.columns[width:]]
+                n_words, items, runs = _hits(shared.value, batch.column(at), *before)
+                if last:
+                    yield finish(batch.columns[:width], n_words, items, runs)
+                else:
+                    runs = pa.array([[{"start": x, "end": y} for x, y in r] for r in runs], _ARROW[3])
+                    yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(items, _ARROW[2]), runs], names=names)
+
+        docs = docs.mapInArrow(run, between if following is not None else out)
+        if following is not None:
+            docs = scratch.cut(docs, "block")
+        k, table = k + 1, following
+    return docs
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", max_bytes: int = store.MAX_BROADCAST) -> DataFrame:
     """(id, n_words, n_hit, items, spans) of every row: spans are the hit words, in code points, end exclusive."""
-    spark: SparkSession = docs.sparkSession
     kind = dict(docs.dtypes)[id_col]
-    tables = build(benchmark, n, item_col, item_text_col, max_bytes)
 
-    def one(table: Table, source: DataFrame, out: str) -> DataFrame:
-        shared = spark.sparkContext.broadcast(table)
+    def finish(columns: list[pa.Array], n_words: list, items: list, runs: list) -> pa.RecordBatch:
+        spans_ = [_spans(columns[1][i].as_py(), r) if r else [] for i, r in enumerate(runs)]
+        got = n_words, [sum(y - x for x, y in r) for r in runs], items, spans_
+        return pa.RecordBatch.from_arrays([columns[0], *(pa.array(x, t) for x, t in zip(got, _ARROW))], names=[id_col, "n_words", "n_hit", "items", "spans"])
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                got = _find(shared.value, batch.column(1))
-                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, t) for x, t in zip(got, _ARROW)), *batch.columns[2:]], names=[id_col, "n_words", "n_hit", "items", "spans", *batch.schema.names[2:]])
-
-        return source.mapInArrow(run, out)
-
-    source = docs.select(id_col, text_col)
-    if len(tables) == 1:
-        return one(tables[0], source, f"`{id_col}` {kind}, {SCHEMA}")
-    # Blocks: a row is known by its id and text; of equal rows each has the same hits, and their number is kept.
-    keyed = source.withColumn("row_key", F.sha2(F.coalesce(text_col, F.lit("")), 256))
-    parts = None
-    for t in tables:
-        part = one(t, keyed, f"`{id_col}` {kind}, {SCHEMA}, row_key string")
-        parts = part if parts is None else parts.unionByName(part)
-    copies = keyed.groupBy(id_col, "row_key").agg(F.count("*").alias("copies"))
-    whole = parts.distinct().groupBy(id_col, "row_key").agg(F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("all_spans"))
-    joined = whole.join(copies.withColumnRenamed(id_col, "copy_id").withColumnRenamed("row_key", "copy_key"), F.col(id_col).eqNullSafe(F.col("copy_id")) & (F.col("row_key") == F.col("copy_key")))
-    full = joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(id_col, "n_words", "items", "all_spans", "row_key")
-    return _join_spans(full, source, id_col, text_col, kind)
-
-
-def _join_spans(full: DataFrame, source: DataFrame, id_col: str, text_col: str, kind: str) -> DataFrame:
-    """Overlapping spans of several blocks as one, with the words in them counted again."""
-    keyed = source.select(F.col(id_col).alias("text_id"), F.sha2(F.coalesce(text_col, F.lit("")), 256).alias("text_key"), F.col(text_col).alias("whole_text")).dropDuplicates(["text_id", "text_key"])
-    hit = full.join(keyed, F.col(id_col).eqNullSafe(F.col("text_id")) & (F.col("row_key") == F.col("text_key"))).select(id_col, "n_words", "items", "all_spans", "whole_text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n_hit, out = [], []
-            for all_spans, text in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist()):
-                b = np.frombuffer((text or "").encode(), np.uint8)
-                _, s, e, _ = words(b, np.array([0, len(b)]))
-                cp = code_points(b)
-                starts, ends = cp[s], cp[e]
-                hit = np.zeros(len(s) + 1, np.int64)
-                for x in all_spans or []:
-                    hit[np.searchsorted(starts, x["start"])] += 1
-                    hit[np.searchsorted(ends, x["end"]) + 1 if np.searchsorted(ends, x["end"]) + 1 < len(hit) else -1] -= 1
-                on = np.cumsum(hit[:-1]) > 0
-                a, z = spans(on, np.array([0, len(on)]))
-                n_hit.append(int(on.sum()))
-                out.append([{"start": int(starts[i]), "end": int(ends[j - 1])} for i, j in zip(a, z)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n_hit, pa.int64()), batch.column(2), pa.array(out, _ARROW[3])], names=[id_col, "n_words", "n_hit", "items", "spans"])
-
-    return hit.mapInArrow(run, f"`{id_col}` {kind}, {SCHEMA}")
+    return _scanned(docs.select(id_col, text_col), build(benchmark, n, item_col, item_text_col, max_bytes), 1, finish, f"`{id_col}` {kind}, {SCHEMA}")
 
 
 def remove(docs: DataFrame, benchmark: DataFrame, what: str = "spans", n: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", max_bytes: int = store.MAX_BROADCAST) -> DataFrame:
     """The rows of docs, all columns, without contamination.
 
     ``what="documents"`` drops each row with a hit; ``what="spans"`` cuts the hit words and what
-    lies between them out of its text. Rows without hits stay as they are, in either mode. One
-    pass for each block of the window table, without a shuffle: blocks are cut one after another,
-    so windows that only form once others have been cut are found too when they are in later blocks.
+    lies between them out of its text. All spans are those of the text as it was, whatever the
+    number of blocks; a window that only forms by the cut stays. Rows without hits stay as they
+    are, in either mode. No text is shuffled.
     """
-    spark = docs.sparkSession
-    at = docs.columns.index(text_col)
-    for table in build(benchmark, n, item_col, item_text_col, max_bytes):
-        shared = spark.sparkContext.broadcast(table)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                _, n_hit, _, found = _find(shared.value, batch.column(at))
-                hit = [i for i, k in enumerate(n_hit) if k]
-                if not hit:
-                    yield batch
-                elif what == "documents":
-                    yield batch.filter(pa.array([not k for k in n_hit]))
-                else:
-                    texts = batch.column(at).to_pylist()
-                    for i in hit:
-                        t, keep, pos = texts[i], [], 0
-                        for x in found[i]:
-                            keep.append(t[pos : x["start"]])
-                            pos = x["end"]
-                        texts[i] = "".join([*keep, t[pos:]])
-                    yield batch.set_column(at, batch.schema.names[at], pa.array(texts, pa.string()))
-
-        if what not in ("spans", "documents"):
-            raise ValueError(f"what must be 'spans' or 'documents', not {what!r}")
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    if what not in ("spans", "documents"):
+        raise ValueError(f"what must be 'spans' or 'documents', not {what!r}")
+    at, width = docs.columns.index(text_col), len(docs.columns)
+    # columns go by number meanwhile, so that no name can clash
+    names = [f"c{i}" for i in range(width)]
+    safe = docs.toDF(*names)
+
+    def finish(columns: list[pa.Array], n_words: list, items: list, runs: list) -> pa.RecordBatch:
+        batch = pa.RecordBatch.from_arrays(columns, names=names)
+        hit = [i for i, x in enumerate(runs) if x]
+        if hit and what == "documents":
+            return batch.filter(pa.array([not x for x in runs]))
+        if hit:
+            texts = columns[at].to_pylist()
+            for i in hit:
+                t, keep, pos = texts[i], [], 0
+                for x in _spans(t, runs[i]):
+                    keep.append(t[pos : x["start"]])
+                    pos = x["end"]
+                texts[i] = "".join([*keep, t[pos:]])
+            batch = batch.set_column(at, names[at], pa.array(texts, pa.string()))
+        return batch
+
+    return _scanned(safe, build(benchmark, n, item_col, item_text_col, max_bytes), at, finish, safe.schema).toDF(*docs.columns)
 
 
 def digests(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

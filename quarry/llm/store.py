@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.session import Scratch, released, shared_dir
+
+__all__ = ["BATCH_BYTES", "MAX_BROADCAST", "Scratch", "crc_mod", "input_bytes", "released", "shared_dir", "table", "tune"]
+
 #: Largest object, in bytes, that an operator may broadcast or bring to the driver.
 MAX_BROADCAST = 64 << 20
 
@@ -30,55 +29,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (``spark.checkpoint.dir``); a temporary one only where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="quarry-")
-        atexit.register(shutil.rmtree, found, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-class Scratch:
-    """Tables written to the shared folder, so that lost executors can't lose them.
-
-    ``cut`` writes a frame and reads it back; ``drop`` deletes what is no longer needed. What
-    remains goes when the session's driver ends.
-    """
-
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
-        self.root = f"{shared_dir(spark)}/quarry-{uuid.uuid4().hex}"
-        self.count = 0
-        atexit.register(self.close)
-
-    def cut(self, df: DataFrame, tag: str, by: str | None = None) -> DataFrame:
-        """df, written and read back; a column ``by`` parts the files, so that a filter on it reads its files only."""
-        path = f"{self.root}/{self.count:03d}-{tag}"
-        self.count += 1
-        (df.write.partitionBy(by) if by else df.write).parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out._quarry_path = path
-        return out
-
-    def drop(self, *frames: DataFrame) -> None:
-        for df in frames:
-            path = getattr(df, "_quarry_path", None)
-            if path:
-                self._delete(path)
-
-    def close(self) -> None:
-        try:
-            self._delete(self.root)
-        except Exception:  # the JVM may be gone already
-            pass
-
-    def _delete(self, path: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-        target.getFileSystem(conf).delete(target, True)
+def input_bytes(docs: DataFrame) -> int:
+    """Bytes that a frame's input has by Spark's own estimate; 0 where it has none."""
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return size if size < 1 << 60 else 0
 
 
 def crc_mod(column: str, modulus: int):

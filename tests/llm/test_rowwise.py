@@ -93,6 +93,22 @@ def test_decontamination(spark, docs, limit):
     assert decontaminate.scan(texts, none).where("n_hit > 0").count() == 0
 
 
+def test_spans_do_not_depend_on_blocks(spark):
+    """A window that only forms when another is cut out stays, whatever the number of blocks."""
+    a, b = [f"a{i}" for i in range(10)], [f"b{i}" for i in range(10)]
+    bench = spark.createDataFrame([(1, " ".join(a)), (2, " ".join(b)), (3, " ".join(a[5:] + b[:5]))], "item_id long, text string")
+    texts = [" ".join(b[:5] + a + b[5:]), " ".join(a + b), "x " + " ".join(a[5:] + b) + " y", None, "a0 a1"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = []
+    for limit in (1 << 26, 1500, 200):
+        scanned = sorted((r.doc_id, r.n_words, r.n_hit, r.items, [tuple(s) for s in r.spans]) for r in decontaminate.scan(docs, bench, max_bytes=limit).collect())
+        rows.append((scanned, sorted(tuple(r) for r in decontaminate.remove(docs, bench, "spans", max_bytes=limit).collect()), sorted(r.doc_id for r in decontaminate.remove(docs, bench, "documents", max_bytes=limit).collect())))
+    assert rows[0] == rows[1] == rows[2]
+    scanned, cut, left = rows[0]
+    assert cut[0][1].split() == b and cut[1][1] == "" and cut[2][1].split() == ["x", "y"] and left == [3, 4]
+    assert [x[:4] for x in scanned[:3]] == [(0, 20, 10, ["1"]), (1, 20, 20, ["1", "2", "3"]), (2, 17, 15, ["2", "3"])]
+
+
 def test_language(spark, docs):
     rng = random.Random(3)
     tongues = {"aa": "kalitorumen", "bb": "strichwerdx", "cc": "öäüßéèçñ"}
