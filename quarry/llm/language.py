@@ -8,15 +8,20 @@ a byte's code length depends on it and ``ORDER`` bytes before it only; workers k
 lengths of such byte groups in a table and add them up per text. The language with the shortest
 code wins.
 
-The trees are learnt from a bounded sample: at most ``per_language`` texts of each language, of
-at most ``max_chars`` characters, chosen by a hash of their ids. Everything else is exact and
-covers whole texts.
+The trees are learnt from a bounded sample: about ``per_language`` rows of each language, fewer
+if there are more than ``SAMPLED / per_language`` languages, chosen by a hash of id and text. Their whole texts
+are counted in the tasks, and counts travel, not texts; beyond ``GROUPS`` counts the rarest byte
+groups are left out of the trees. Everything else is exact and covers whole texts.
+
+``keep`` also drops what is in none of the languages: texts whose code is longer than that of the
+worst of ``per_language`` further learning rows of the winning language, byte for byte, by more
+than ``MARGIN`` and ``SLACK`` bits. Without such rows, or without a model, it drops no text with a letter.
 
 Defined results: a null text or one without a letter is ``und`` with score 0; a text of any
 length is read whole; ties go to the language first in the alphabet; equal texts get equal
 answers; without a single learnable text all is ``und``. ``score`` is the winner's share when
 code lengths, divided by the root of the text's bytes, are taken as log-probabilities. Only the
-named columns are read.
+named columns are read; ``keep`` returns all columns of its input.
 """
 
 from __future__ import annotations
@@ -32,10 +37,13 @@ from . import store
 from .kernels import U64, flat, pieces, sums
 
 ORDER = 4
-#: Sampled texts of one language at most, and the longest that may be sampled.
-PER_LANGUAGE, MAX_CHARS = 400, 20_000
-#: Places in a worker's table of code lengths.
-_PLACES = 20
+#: Rows that are sampled of one language, and of all, about.
+PER_LANGUAGE, SAMPLED = 400, 1 << 16
+#: Byte groups whose counts come to the driver, at most.
+GROUPS = 1 << 22
+MARGIN, SLACK = 1.5, 64.0
+#: Code lengths in a worker's table, at most: its size doesn't depend on the number of languages.
+_CELLS = 22
 UNKNOWN = "und"
 
 
@@ -57,10 +65,8 @@ def groups(buf: np.ndarray, offs: np.ndarray, order: int = ORDER) -> np.ndarray:
 class Tree:
     """Frozen follower counts of one language's contexts."""
 
-    def __init__(self, texts: list[str], order: int = ORDER):
-        raw = [t.encode() for t in texts]
-        offs = np.append(0, np.cumsum([len(r) for r in raw])).astype(np.int64)
-        g, c = np.unique(groups(np.frombuffer(b"".join(raw), np.uint8), offs, order), return_counts=True)
+    def __init__(self, g: np.ndarray, c: np.ndarray, order: int = ORDER):
+        """From distinct groups and their counts."""
         self.order, self.levels = order, []
         for k in range(order + 1):
             # level k: groups of k context bytes and one follower
@@ -70,6 +76,12 @@ class Tree:
             total, distinct = np.bincount(at, count, len(context)), np.bincount(at, minlength=len(context))
             self.levels.append((key, np.log2((total + distinct)[at] / count), context, np.log2((total + distinct) / np.maximum(distinct, 1))))
 
+    @classmethod
+    def of(cls, texts: list[str], order: int = ORDER) -> Tree:
+        raw = [t.encode() for t in texts]
+        offs = np.append(0, np.cumsum([len(r) for r in raw])).astype(np.int64)
+        return cls(*np.unique(groups(np.frombuffer(b"".join(raw), np.uint8), offs, order), return_counts=True), order)
+
     def lengths(self, g: np.ndarray) -> np.ndarray:
         """Code length in bits of each group's last byte after its other bytes."""
         out = np.zeros(len(g))
@@ -91,9 +103,12 @@ class Tree:
 
 
 class Model:
-    def __init__(self, texts: dict[str, list[str]]):
-        self.langs = sorted(texts)
-        self.trees = [Tree(texts[k]) for k in self.langs]
+    def __init__(self, trees: dict[str, Tree]):
+        self.langs = sorted(trees)
+        self.trees = [trees[k] for k in self.langs]
+        #: Bits of a byte in the worst further learning row of each language.
+        self.worst = np.full(len(self.langs), np.inf)
+        self.bits_of_place = max(8, _CELLS - int(np.ceil(np.log2(max(len(self.langs), 1)))))
         self.places: tuple[np.ndarray, np.ndarray] | None = None
 
     def __getstate__(self):
@@ -102,15 +117,15 @@ class Model:
     def bits(self, g: np.ndarray) -> np.ndarray:
         """Code lengths of the groups in every language."""
         if self.places is None:
-            self.places = np.full(1 << _PLACES, (1 << 64) - 1, U64), np.zeros((1 << _PLACES, len(self.langs)), np.float32)
+            self.places = np.full(1 << self.bits_of_place, (1 << 64) - 1, U64), np.zeros((1 << self.bits_of_place, len(self.langs)), np.float32)
         keys, vals = self.places
-        at = ((g * U64(0x9E3779B97F4A7C15)) >> U64(64 - _PLACES)).astype(np.int64)
+        at = ((g * U64(0x9E3779B97F4A7C15)) >> U64(64 - self.bits_of_place)).astype(np.int64)
         lost = np.flatnonzero(keys[at] != g)
         if not len(lost):
             return vals.take(at, axis=0)
         new, where = np.unique(g[lost], return_inverse=True)
         found = np.stack([t.lengths(new) for t in self.trees], 1).astype(np.float32)
-        put = ((new * U64(0x9E3779B97F4A7C15)) >> U64(64 - _PLACES)).astype(np.int64)
+        put = ((new * U64(0x9E3779B97F4A7C15)) >> U64(64 - self.bits_of_place)).astype(np.int64)
         keys[put], vals[put] = new, found
         # the last of several that share a place is what lies there
         keys[put] = new
@@ -137,37 +152,87 @@ def has_letter(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return out
 
 
-def fit(docs: DataFrame, learn: Column, text_col: str = "text", lang_col: str = "lang", key_col: str = "doc_id", per_language: int = PER_LANGUAGE, max_chars: int = MAX_CHARS) -> Model:
-    """A model of the languages in the rows of docs for which ``learn`` holds, from a bounded sample of them."""
-    pool = docs.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    short = pool.where(F.length(text_col) <= max_chars).select(F.col(lang_col).alias("lang"), F.xxhash64(F.col(key_col).cast("string")).alias("h"), F.col(text_col).alias("text"))
+def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, worst: bool = False) -> Model:
+    """A model of the languages in the rows of docs for which ``learn`` holds; ``worst`` also finds what ``keep`` needs."""
+    spark = docs.sparkSession
+    store.tune(spark)
+    pool = docs.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.col(text_col) != ""))
     counts = {r["lang"]: r["n"] for r in pool.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).collect()}
-    if len(counts) * per_language * max_chars > 64 * store.MAX_BROADCAST:
-        raise ValueError(f"{len(counts)} languages: lower per_language or max_chars")
     if not counts:
         return Model({})
-    # twice the wanted share of the hash range, then the smallest hashes of each language
-    share = F.lit(0.0)
-    for lang, n in counts.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, 2 * per_language / n))).otherwise(share)
-    picked = short.where(F.pmod("h", F.lit(1 << 30)) < share * (1 << 30)).dropDuplicates(["lang", "h"]).collect()
-    texts: dict[str, list[str]] = {}
-    for r in sorted(picked, key=lambda r: (r["lang"], r["h"] % (1 << 30), r["h"], r["text"])):
-        if len(some := texts.setdefault(r["lang"], [])) < per_language and r["text"]:
-            some.append(r["text"])
-    return Model({k: v for k, v in texts.items() if v})
-
-
-def answers(model: Model, texts: pa.Array) -> tuple[list[str], np.ndarray]:
+    wanted = max(1, min(per_language, SAMPLED // len(counts)))
+    shares = {k: wanted / n for k, n in counts.items()}
+    hashed = pool.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(F.col(id_col).cast("string"), text_col, F.lit(4)), F.lit(1 << 30)).alias("h"))
+    least = max(shares.values())
+    near = hashed.where(F.col("h") < min(1.0, 2 * least) * (1 << 30))
+    sent = spark.sparkContext.broadcast(shares)
+
+    def sampled(batch: pa.RecordBatch, which: int) -> tuple[list[str], list[str]]:
+        """Languages and texts of the rows of the first or the second share of a language's hashes."""
+        rows = [(k, t) for k, t, h in zip(*(c.to_pylist() for c in batch.columns)) if which * sent.value[k] <= h / (1 << 30) < (which + 1) * sent.value[k]]
+        return [k for k, _ in rows], [t for _, t in rows]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            langs, texts = sampled(batch, 0)
+            for k in sorted(set(langs)):
+                buf, offs = flat(pa.array([t for x, t in zip(langs, texts) if x == k], pa.large_string()))
+                for _, _, b, o in pieces(buf, offs, 1 << 22):
+                    g, n = np.unique(groups(b, o), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([k] * len(g), pa.string()), pa.array(g.view(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "g", "n"])
+
+    scratch = store.Scratch(spark)
+    table = scratch.cut(near.mapInArrow(count, "lang string, g long, n long").groupBy("lang", "g").agg(F.sum("n").alias("n")), "groups")
+    level, left = 1, 0
+    for r in sorted(table.groupBy(F.least("n", F.lit(1 << 20)).alias("n")).agg(F.count("*").alias("k")).collect(), key=lambda r: -r["n"]):
+        left += r["k"]
+        if left > GROUPS:
+            level = r["n"] + 1
+            break
+    got = table.where(F.col("n") >= level).toArrow()
+    scratch.close()
+    names = got.column("lang").to_numpy()
+    g, n = got.column("g").to_numpy().view(U64), got.column("n").to_numpy()
+    trees = {}
+    for k in sorted(set(names.tolist())):
+        on = np.flatnonzero(names == k)
+        on = on[np.argsort(g[on])]
+        trees[k] = Tree(g[on], n[on])
+    model = Model(trees)
+    if worst and trees:
+        shared = spark.sparkContext.broadcast(model)
+
+        def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                langs, texts = sampled(batch, 1)
+                if texts:
+                    buf, offs = flat(pa.array(texts, pa.large_string()))
+                    bits = shared.value.score(buf, offs)
+                    best = bits.argmin(1)
+                    own = np.array([shared.value.langs[i] for i in best.tolist()]) == np.array(langs)
+                    each = bits.min(1) / np.diff(offs)
+                    # short texts say little about the bits of a byte
+                    own &= np.diff(offs) >= 64
+                    yield pa.RecordBatch.from_arrays([pa.array(best[own].astype(np.int32)), pa.array(each[own])], names=["k", "bits"])
+
+        for r in near.mapInArrow(measure, "k int, bits double").groupBy("k").agg(F.max("bits").alias("bits")).collect():
+            model.worst[r["k"]] = r["bits"]
+    return model
+
+
+def answers(model: Model, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Each text's language and score, and whether it is in a language at all."""
     buf, offs = flat(texts)
     ok = has_letter(buf, offs)
     if not model.langs:
-        return [UNKNOWN] * len(ok), np.zeros(len(ok))
+        return [UNKNOWN] * len(ok), np.zeros(len(ok)), ok
     bits = model.score(buf, offs)
     best = bits.argmin(1)
-    gap = (bits - bits.min(1, keepdims=True)) / np.sqrt(np.maximum(np.diff(offs), 1))[:, None]
+    size = np.maximum(np.diff(offs), 1)
+    gap = (bits - bits.min(1, keepdims=True)) / np.sqrt(size)[:, None]
     score = np.where(ok, 1 / np.exp2(-gap).sum(1), 0.0)
-    return [model.langs[i] if o else UNKNOWN for i, o in zip(best.tolist(), ok.tolist())], score
+    within = bits.min(1) <= MARGIN * model.worst[best] * size + SLACK
+    return [model.langs[i] if o else UNKNOWN for i, o in zip(best.tolist(), ok.tolist())], score, ok & within
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -178,21 +243,20 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lang, score = answers(shared.value, batch.column(1))
+            lang, score, _ = answers(shared.value, batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[id_col, "lang_pred", "score"])
 
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, lang_pred string, score double")
 
 
 def keep(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns, whose text is in some language: those not ``und``."""
+    """The rows of docs, all columns, whose text is in some language by a model fitted with ``worst``."""
     store.tune(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lang, _ = answers(shared.value, batch.column(at))
-            yield batch.filter(pa.array([x != UNKNOWN for x in lang], pa.bool_()))
+            yield batch.filter(pa.array(answers(shared.value, batch.column(at))[2], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
