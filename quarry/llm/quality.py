@@ -6,12 +6,13 @@ metadata. Their pairwise interactions have rank ``RANK`` and are summed in linea
 (sum of v x) squared less the sum of v squared x squared, for each of the rank's dimensions. The
 logistic of it all is the score.
 
-The machine is fitted by AdaGrad on a bounded sample: at most ``SAMPLE`` labelled texts of at
-most ``SAMPLE_CHARS`` characters, chosen by a hash of their ids. Scoring covers whole texts.
+The machine is fitted by AdaGrad on a bounded sample: at most ``SAMPLE`` labelled texts, chosen by
+a hash of their ids, whole; their features come to the driver, not the texts. Scoring covers whole
+texts.
 
 Defined results: a null text reads as the empty text, which has only a length class and gets a
-score too; an id that is labelled more than once counts as 1 if any label says so; null labels
-are left out; without labels all scores are 0.5. Equal texts get equal scores. Only the named
+score too; an id that is labelled more than once counts as 1 if any label says so; of several texts with
+one id the one with the least hash is learnt; null labels are left out; without labels all scores are 0.5. Equal texts get equal scores. Only the named
 columns are read.
 """
 
@@ -28,7 +29,7 @@ from .kernels import U64, flat, pieces, range_hash, rows_of, spans, sums
 from .store import tune
 
 SLOTS, RANK = 1 << 15, 8
-SAMPLE, SAMPLE_CHARS = 4000, 20_000
+SAMPLE = 4000
 LENGTHS = 18
 STATS = ("upper", "lower", "digit", "space", "breaks", "marks", "odd_marks", "foreign", "word_size", "long_words", "repeats", "again", "line_size", "no_words")
 WIDTH = SLOTS + LENGTHS + len(STATS)
@@ -151,22 +152,35 @@ class Machine:
         return 1 / (1 + np.exp(-np.concatenate(out).astype(np.float64))) if out else np.zeros(0)
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id", label_col: str = "quality", sample: int = SAMPLE, sample_chars: int = SAMPLE_CHARS) -> Machine | None:
+def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id", label_col: str = "quality", sample: int = SAMPLE) -> Machine | None:
     """A machine fitted on labelled rows for whose ids (of labels) ``learn`` holds, or None if there are none."""
     rows = labels.where(learn & F.col(label_col).isNotNull() & F.col(label_id_col).isNotNull()).groupBy(F.col(label_id_col).alias("key")).agg(F.max(label_col).alias("label"))
     count = rows.count()
     share = min(1.0, 2 * sample / max(count, 1))
     hash_ = F.pmod(F.xxhash64(F.col("key").cast("string"), F.lit(5)), F.lit(1 << 30))
     picked = rows.withColumn("h", hash_).where(F.col("h") < share * (1 << 30)).orderBy("h", "key").limit(sample)
-    texts = docs.where(F.length(text_col) <= sample_chars).select(F.col(id_col).alias("key"), F.col(text_col).alias("text"))
-    got = texts.join(F.broadcast(picked), "key").dropDuplicates(["key"]).select("h", "key", "text", "label").collect()
+    tune(docs.sparkSession)
+    texts = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("t"))
+    first = texts.join(F.broadcast(picked), "key").groupBy("key", "h", "label").agg(F.min("t").alias("t"))
+    chosen = texts.join(F.broadcast(first), ["key", "t"]).select("h", F.col("key").cast("string").alias("key"), "label", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, b, o in pieces(*flat(batch.column(3))):
+                index, value, bounds = features(b, o)
+                cut = list(zip(bounds[:-1].tolist(), bounds[1:].tolist()))
+                blobs = [pa.array([x[i:j].tobytes() for i, j in cut], pa.binary()) for x in (index.astype(np.int32), value)]
+                yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in batch.columns[:3]), *blobs], names=["h", "key", "label", "index", "value"])
+
+    ddl = f"h long, key string, label {dict(chosen.dtypes)['label']}, index binary, value binary"
+    got = chosen.mapInArrow(run, ddl).dropDuplicates(["key"]).collect()
     got.sort(key=lambda r: (r["h"], r["key"]))
     if not got:
         return None
-    raw = [r["text"].encode() for r in got]
-    offs = np.append(0, np.cumsum([len(r) for r in raw])).astype(np.int64)
+    index = [np.frombuffer(r["index"], np.int32) for r in got]
+    bounds = np.append(0, np.cumsum(list(map(len, index))))
     machine = Machine()
-    machine.fit(*features(np.frombuffer(b"".join(raw), np.uint8), offs), np.array([float(r["label"] > 0) for r in got]))
+    machine.fit(np.concatenate(index).astype(np.int64), np.concatenate([np.frombuffer(r["value"], np.float32) for r in got]), bounds, np.array([float(r["label"] > 0) for r in got]))
     return machine
 
 
