@@ -43,7 +43,8 @@ def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.digests(table(spark, sf_dir, "documents"), secrets.fit())
+    docs = table(spark, sf_dir, "documents")
+    return secrets.digests(docs, secrets.learn(docs), path_col="source")
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
