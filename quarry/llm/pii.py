@@ -2,15 +2,19 @@
 
 The patterns are e-mail addresses, IPv4 addresses, card numbers that pass Luhn's check, and phone
 numbers with a plus sign. The field's nodes are a text's mentions: words around an @, and runs of
-digits with at most two separators between digits. Each node has potentials of its own features
+digits with at most two separators between digits; a run of more digits than any kind has is cut,
+into equal parts if it repeats one. Each node has potentials of its own features
 (shape, digits, checks, the words around it), of the mention before and after it in the text, and
 of its skip edges, which link mentions that are equal or similar (the same last seven digits, the
 same part before the @) at any distance in the text. Loopy belief propagation makes the labels
 of such mentions agree: a number that is once written as a phone number is one elsewhere too.
 
-The weights are fitted by pseudo-likelihood to the patterns' own findings, in a bounded sample of
-at most ``SAMPLE`` texts with mentions, of at most ``SAMPLE_CHARS`` characters, chosen by a hash
-of their ids. The patterns' spans always stay; the field adds mentions that it finds likelier
+The weights are fitted by pseudo-likelihood to the patterns' findings in a bounded sample of
+at most ``SAMPLE`` texts with mentions, chosen by a hash of id and text. So that the field learns
+what equal mentions tell, ``ECHOES`` mentions of each text are put once more at its end, in a form
+that the patterns miss and without the words around them, with the label of the first, twice, and
+as often others of its form that are of no kind; texts with
+runs that had to be cut have no sure labels and are not learnt from. The patterns' spans always stay, as given labels of their mentions; the field adds mentions that it finds likelier
 personal than not, unless they overlap a pattern's span.
 
 Defined results: a null text reads as the empty text, without spans; texts of any length are
@@ -35,11 +39,15 @@ from .store import tune
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
-SAMPLE, SAMPLE_CHARS = 4000, 20_000
+SAMPLE = 4000
+#: Digits of one mention, at most.
+MOST = 19
+#: Mentions of a text that are repeated for learning, and that it may have at most to be learnt from.
+ECHOES, LEARNT = 4, 2000
 SLOTS = 1 << 12
 ROUNDS = 10
-#: Mean of the prior of the skip edges' weight for equal labels; few texts repeat a mention, so it counts.
-PRIOR = 5.0
+#: What a pattern's finding adds to its label.
+SURE = 30.0
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -135,6 +143,19 @@ class Mention:
         return out
 
 
+def parts(text: str, start: int, end: int) -> list[tuple[int, int]]:
+    """A long run cut at its separators: into equal parts if it repeats one of 7 digits or more, else into each with 7 or more."""
+    tokens = [(start + m.start(), start + m.end()) for m in re.finditer(r"[0-9]+", text[start:end])]
+    n = len(tokens)
+    for p in range(1, n // 2 + 1):
+        if n % p == 0 and all(text[a:b] == text[c:d] for (a, b), (c, d) in zip(tokens, tokens[p:])):
+            whole = [(tokens[i][0], tokens[i + p - 1][1]) for i in range(0, n, p)]
+            if 7 <= len(digits(text[slice(*whole[0])])) <= MOST:
+                return whole
+            break
+    return [(a, b) for a, b in tokens if 7 <= b - a <= MOST]
+
+
 def mentions(text: str) -> list[Mention]:
     """The field's nodes, in the order of the text; none overlap."""
     if not _ANY.search(text):
@@ -147,7 +168,10 @@ def mentions(text: str) -> list[Mention]:
             taken += 1
         if taken < len(spans) and spans[taken][0] < m.end():
             continue
-        if len(digits(m.group())) >= 4:
+        n = len(digits(m.group()))
+        if n > MOST:
+            out += [(a, b, False) for a, b in parts(text, *m.span())]
+        elif n >= 4:
             out.append((*m.span(), False))
     return [Mention(text, a, b, k) for a, b, k in sorted(out + spans)]
 
@@ -194,7 +218,7 @@ class Field:
     def __init__(self):
         k = len(LABELS)
         self.unary = np.zeros((SLOTS, k))
-        self.pair = [np.zeros((k, k)), PRIOR * np.eye(k)]
+        self.pair = [np.zeros((k, k)), np.zeros((k, k))]
 
     def scores(self, g: Graph) -> np.ndarray:
         out = np.zeros((g.n, len(LABELS)))
@@ -219,15 +243,17 @@ class Field:
             for kind in (0, 1):
                 a, b = g.pairs[kind].T
                 grads[1 + kind] += d[a].T @ gold[b] + gold[a].T @ d[b]
-            means = [0.0, 0.0, PRIOR * np.eye(k)]
-            for w, x, q, mean in zip([self.unary, *self.pair], grads, past, means):
-                x += decay * (w - mean)
+            for w, x, q in zip([self.unary, *self.pair], grads, past):
+                x += decay * w
                 q += x * x
                 w -= rate * x / np.sqrt(q)
 
-    def marginals(self, g: Graph, rounds: int = ROUNDS) -> np.ndarray:
-        """Each node's label probabilities, by loopy belief propagation over chain and skip edges."""
+    def marginals(self, g: Graph, known: np.ndarray | None = None, rounds: int = ROUNDS) -> np.ndarray:
+        """Each node's label probabilities, by loopy belief propagation over chain and skip edges; ``known`` labels but 0 are given."""
         s = self.scores(g)
+        if known is not None:
+            on = np.flatnonzero(known)
+            s[on, known[on]] += SURE
         if not g.n:
             return s
         src = np.concatenate([x for p in g.pairs for x in (p[:, 0], p[:, 1])])
@@ -246,9 +272,8 @@ class Field:
         return np.exp(belief - _log_sum(belief, 1)[:, None])
 
 
-def gold(text: str, nodes: list[Mention]) -> list[int]:
-    """The patterns' label of each mention that lies in a pattern's span, or holds it."""
-    found = base(text)
+def gold(found: list[Span], nodes: list[Mention]) -> list[int]:
+    """The patterns' label of each mention that lies in a pattern's span, or holds it; spans are few."""
     out = []
     for m in nodes:
         best = 0
@@ -259,11 +284,56 @@ def gold(text: str, nodes: list[Mention]) -> list[int]:
     return out
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, sample_chars: int = SAMPLE_CHARS) -> Field | None:
+#: Another mention of the same form; it is of no kind.
+_OTHER = str.maketrans("0123456789abcdefghijklmnopqrstuvwxyz", "3456789012nopqrstuvwxyzabcdefghijklm")
+#: So much white space that a mention's features hold no words before or after it.
+_FAR = "\n " * 13
+
+
+def echo(text: str, m: Mention, kind: str, turn: int) -> str:
+    """A mention as it may be written again, in a form without what the patterns ask for."""
+    s = text[m.start : m.end]
+    if "@" in s:
+        return f"{s.partition('@')[0]}@localhost"
+    d = digits(s)
+    if kind == "phone":
+        return f"({d[-10:-7]}) {d[-7:-4]}-{d[-4:]}" if turn % 2 and len(d) >= 10 else d[-10:]
+    if kind == "ip":
+        return f"{s}.0"
+    return s
+
+
+def lesson(text: str) -> tuple[list[Mention], list[int]] | None:
+    """The mentions of a text and of its echoes with their labels; None if the patterns can't tell them."""
+    own = mentions(text)
+    if len(own) > LEARNT or any(len(digits(m.group())) > MOST for m in _NUMBER.finditer(text)):
+        return None
+    label = gold(base(text), own)
+    # what the patterns found first, then others
+    chosen = sorted(range(len(own)), key=lambda i: (not label[i], i))[:ECHOES]
+    more, tail = [], ""
+    entries = []
+    for turn, i in enumerate(chosen):
+        said = echo(text, own[i], LABELS[label[i]], turn + i)
+        other = said.translate(_OTHER)
+        entries += [(said, label[i]), (said, label[i]), (other, 0), (other.translate(_OTHER), 0)]
+    # in no order, so that what stands beside them tells nothing
+    for k, (x, y) in sorted(enumerate(entries), key=lambda e: zlib.crc32(f"{e[0]} {e[1][0]}".encode())):
+        tail += f"{_FAR}{x}\n"
+        more.append(y)
+    whole = text + tail
+    nodes = mentions(whole)
+    again = [m for m in nodes if m.start >= len(text)]
+    if len(again) != len(more):
+        return own, label
+    return own + again, label + more
+
+
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Field | None:
     pool = docs.where(F.col(text_col).rlike("[0-9@]"))
     share = min(1.0, 2 * sample / max(pool.count(), 1))
-    hash_ = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(8)), F.lit(1 << 30))
-    few = pool.where((F.length(text_col) <= sample_chars) & (hash_ < share * (1 << 30))).select(hash_.alias("h"), F.col(text_col).alias("text")).dropDuplicates(["h"])
+    hash_ = F.pmod(F.xxhash64(F.col(id_col).cast("string"), text_col, F.lit(8)), F.lit(1 << 30))
+    few = pool.where(hash_ < share * (1 << 30)).select(hash_.alias("h"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # features travel, not texts
@@ -271,11 +341,12 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample:
             texts = batch.column(1).to_pylist()
             packs = []
             for t in texts:
-                nodes = mentions(t)
-                packs.append(json.dumps([[[m.features, m.keys] for m in nodes], gold(t, nodes)]))
+                learnt = lesson(t)
+                packs.append(json.dumps([[[m.features, m.keys] for m in learnt[0]], learnt[1]]) if learnt else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packs, pa.string())], names=["h", "pack"])
 
-    got = sorted(few.mapInArrow(run, "h long, pack string").collect(), key=lambda r: (r["h"], r["pack"]))[:sample]
+    rows = few.mapInArrow(run, "h long, pack string").where(F.col("pack").isNotNull())
+    got = sorted(rows.dropDuplicates().collect(), key=lambda r: (r["h"], r["pack"]))[:sample]
     packs = [json.loads(r["pack"]) for r in got]
     nodes = [[Mention.of(*m) for m in p[0]] for p in packs]
     label = np.array([x for p in packs for x in p[1]], np.int64)
@@ -293,7 +364,8 @@ def find(texts: list[str], field: Field | None) -> list[tuple[list[Span], list[S
     if field is not None:
         nodes = [mentions(t) for t in texts]
         g = Graph(nodes)
-        p = field.marginals(g)
+        known = np.array([x for b, n in zip(bases, nodes) for x in (gold(b, n) if b else [0] * len(n))], np.int64)
+        p = field.marginals(g, known)
         best = p.argmax(1)
         for i, (lo, hi) in enumerate(zip(g.bounds.tolist(), g.bounds[1:].tolist())):
             if not best[lo:hi].any():
@@ -333,7 +405,7 @@ def spans(docs: DataFrame, field: Field | None, id_col: str = "doc_id", text_col
 
 
 def digests(docs: DataFrame, field: Field | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_email, n_ip, n_card, n_phone, base_sha256, spans) of every row; the counts are the patterns'."""
+    """(id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_spans) of every row; the counts by kind are the patterns', ``n_spans`` counts all."""
     tune(docs.sparkSession)
     kind = dict(docs.dtypes)[id_col]
     shared = docs.sparkSession.sparkContext.broadcast(field)
@@ -343,6 +415,6 @@ def digests(docs: DataFrame, field: Field | None, id_col: str = "doc_id", text_c
             got = find([t or "" for t in batch.column(1).to_pylist()], shared.value)
             counts = [pa.array([sum(s[0] == k for s in b) for b, _ in got], pa.int64()) for k in KINDS]
             sha = [hashlib.sha256(joined(b).encode()).hexdigest() for b, _ in got]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *counts, pa.array(sha, pa.string()), pa.array([joined(b + m) for b, m in got], pa.string())], names=[id_col, *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *counts, pa.array(sha, pa.string()), pa.array([joined(b + m) for b, m in got], pa.string()), pa.array([len(b) + len(m) for b, m in got], pa.int64())], names=[id_col, *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_spans"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long")
