@@ -27,9 +27,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import BooleanType, NumericType
 
 from .kernels import PIECE, U64, flat, mix, pieces, range_hash, rows_of
 from .store import tune
@@ -38,8 +39,8 @@ from .store import tune
 LEVELS = 5
 ENOUGH = 24
 KEEP = 64
-#: Rows of one range of ids, in ``with_edits``.
-RANGE = 2048
+#: Rows of one range of ids, in ``with_edits``, and quantiles that their borders are taken from, at most.
+RANGE, CUTS = 2048, 1 << 14
 
 
 def _toss_table() -> np.ndarray:
@@ -207,6 +208,18 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - k] + following[:k]
 
 
+def _place(source: DataFrame) -> Column:
+    """A number for each id that isn't null, ascending with the ids: the id itself, or six bytes behind what all ids begin with."""
+    if isinstance(source.schema["id"].dataType, (NumericType, BooleanType)):
+        return F.col("id").cast("double")
+    text = F.col("id").cast("string")
+    a, b = source.agg(F.min(text), F.max(text)).first()
+    a, b = (a or "").encode(), (b or "").encode()
+    same = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    raw = F.substring(F.encode(text, "UTF-8"), same + 1, 6)
+    return F.conv(F.rpad(F.hex(raw), 12, "0"), 16, 10).cast("double")
+
+
 def with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of every row.
 
@@ -216,13 +229,27 @@ def with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     spark = docs.sparkSession
     tune(spark)
     kind = dict(docs.dtypes)[id_col]
-    key = F.coalesce(F.col(id_col).cast("double"), F.lit(float("-inf")))
-    parts, cuts = max(1, min(docs.count() // RANGE, 1 << 16)), []
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    base = source.withColumn("key", _place(source))
+    count, low, voids = base.agg(F.count("*"), F.min("key"), F.count_if(F.col("key").isNull())).first()
+    low = 0.0 if low is None else low
+    parts = max(1, (count - voids) // RANGE)
+    cuts: list[float] = []
     if parts > 1:
-        probs = [i / parts for i in range(1, parts)]
-        cuts = docs.select(F.percentile_approx(key, probs, max(10_000, 4 * parts))).first()[0]
-    cuts = sorted({c for c in cuts if c != float("-inf")})
-    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("key", F.coalesce(F.col("id").cast("double"), F.lit(float("-inf"))))
+        quantiles = min(parts, CUTS)
+        found = base.where("key is not null").select(F.percentile_approx("key", [i / quantiles for i in range(1, quantiles)], max(10_000, 4 * quantiles))).first()[0]
+        cuts = sorted({c for c in found if c > low})
+    if voids:
+        # rows without an id come last, in the order of their texts' hashes: ranges of their own below all others
+        share = (F.xxhash64("text").cast("double") + 2.0**63) / 2.0**64
+        width = max(abs(low), 1.0)
+        base = base.withColumn("key", F.coalesce("key", F.lit(low - width) - share * width))
+        n = -(-voids // RANGE)
+        cuts = [*(low - width - width * i / n for i in range(n - 1, 0, -1)), low, *cuts] if voids < count else [low - width - width * i / n for i in range(n - 1, 0, -1)]
+    more = -(-parts // CUTS)
+    if more > 1:
+        # beyond that many quantiles, each range is cut evenly
+        cuts = sorted({a + (b - a) * i / more for a, b in zip(cuts, cuts[1:]) for i in range(more)} | set(cuts[-1:]))
     if cuts:
         binned = Bucketizer(splits=[float("-inf"), *cuts, float("inf")], inputCol="key", outputCol="bin").transform
     else:
