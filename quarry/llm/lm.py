@@ -41,7 +41,7 @@ from .store import Scratch, tune
 HEAD, VOCAB, SIZE = 1 << 18, 1024, 32
 TRAINED, TRAINERS = 1 << 21, 4
 #: Rows of parameters that are averaged together.
-AVERAGED = 1 << 12
+AVERAGED = 1 << 9
 #: Tokens of one task that are counted together before they are sent, about.
 COUNTED = 1 << 22
 #: The end of a text, among the words' hashes.
@@ -128,100 +128,119 @@ class Model:
         self.first = np.searchsorted(self.of, np.arange(self.of[-1] + 2))
         self.class_noise = np.add.reduceat(self.noise, self.first[:-1])
         inside = np.maximum(self.noise / self.class_noise[self.of], 1e-12)
-        self.class_bias = np.log(np.maximum(self.class_noise, 1e-12)).astype(np.float32)
-        self.bias = np.log(inside).astype(np.float32)
+        # a row is a vector and its bias
+        self.words, self.classes = np.zeros((v + 1, SIZE + 1), np.float32), np.zeros((len(self.class_noise), SIZE + 1), np.float32)
+        self.words[:, -1], self.classes[:, -1] = np.log(inside), np.log(np.maximum(self.class_noise, 1e-12))
         self.context = (rng.standard_normal((v + 2, SIZE)) * 0.1).astype(np.float32)
-        self.target = np.zeros((v + 1, SIZE), np.float32)
-        self.classes = np.zeros((len(self.class_noise), SIZE), np.float32)
         self.place = np.stack([np.eye(SIZE, dtype=np.float32)] * 2)
 
     def table(self) -> np.ndarray:
         """All parameters, a row each: a vector and its bias."""
-        none = np.zeros(len(self.context) + 2 * SIZE, np.float32)
-        return np.column_stack([np.concatenate([self.target, self.classes, self.context, *self.place]), np.concatenate([self.bias, self.class_bias, none])])
+        none = np.zeros((len(self.context) + 2 * SIZE, 1), np.float32)
+        return np.concatenate([self.words, self.classes, np.column_stack([np.concatenate([self.context, *self.place]), none])])
 
     def load(self, table: np.ndarray) -> None:
-        a, b = len(self.target), len(self.target) + len(self.classes)
-        c = b + len(self.context)
         t = table.astype(np.float32)
-        self.target, self.bias = t[:a, :-1].copy(), t[:a, -1].copy()
-        self.classes, self.class_bias = t[a:b, :-1].copy(), t[a:b, -1].copy()
-        self.context, self.place = t[b:c, :-1].copy(), t[c:, :-1].reshape(2, SIZE, SIZE).copy()
+        self.words, self.classes, context, place = np.split(t, np.cumsum([len(self.words), len(self.classes), len(self.context)]))
+        self.context, self.place = np.ascontiguousarray(context[:, :-1]), np.ascontiguousarray(place[:, :-1]).reshape(2, SIZE, SIZE)
 
     def vectors(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
-        return self.context[one] @ self.place[0] + self.context[two] @ self.place[1]
+        return self.context.take(one, axis=0) @ self.place[0] + self.context.take(two, axis=0) @ self.place[1]
 
-    def fit(self, one: np.ndarray, two: np.ndarray, word: np.ndarray, epochs: int = 1, batch: int = 4096, noise: int = 64, rate: float = 0.05, seed: int = 9, past: dict | None = None) -> dict:
+    def fit(self, one: np.ndarray, two: np.ndarray, word: np.ndarray, epochs: int = 1, batch: int = 4096, noise: int = 64, rate: float = 0.07, seed: int = 9, past: dict | None = None) -> dict:
         """Noise-contrastive estimation by AdaGrad; each batch shares its noise classes, and each class its noise words. Returns AdaGrad's sums and each row's updates, to go on with."""
         rng = np.random.default_rng(seed)
-        names = ("target", "bias", "classes", "class_bias", "context", "place")
         if past is None:
-            past = {k: np.full_like(getattr(self, k), 1e-6) for k in names} | {"uses": np.zeros(len(self.target) + len(self.classes) + len(self.context) + 2 * SIZE, np.float32)}
-        at_class = len(self.target)
+            past = {k: np.full_like(getattr(self, k), 1e-6) for k in ("words", "classes", "context", "place")} | {"uses": np.zeros(len(self.words) + len(self.classes) + len(self.context) + 2 * SIZE, np.float32)}
+        at_class = len(self.words)
         at_context = at_class + len(self.classes)
         uses = past["uses"]
-        log_class, log_word = np.log(np.maximum(self.class_noise, 1e-12)).astype(np.float32), np.log(np.maximum(self.noise / self.class_noise[self.of], 1e-12)).astype(np.float32)
+        more = np.float32(np.log(noise))
+        log_class, log_word = np.log(np.maximum(self.class_noise, 1e-12)).astype(np.float32) + more, np.log(np.maximum(self.noise / self.class_noise[self.of], 1e-12)).astype(np.float32) + more
         cum_class, cum_word = np.cumsum(self.class_noise), np.append(0, np.cumsum(self.noise))
-        size = np.diff(self.first)
+        alone = np.diff(self.first) == 1
+        place = np.empty((2, SIZE, SIZE), np.float32)
 
         def step(k: str, grad: np.ndarray, rows: np.ndarray | slice = slice(None)) -> None:
             param, p = getattr(self, k), past[k]
-            p[rows] += grad * grad
-            param[rows] -= rate * grad / np.sqrt(p[rows])
-
-        def scatter(at: np.ndarray, grad: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            order = np.argsort(at, kind="stable")
+            q = grad * grad
+            q += p[rows] if isinstance(rows, slice) else p.take(rows, axis=0)
+            p[rows] = q
+            np.sqrt(q, out=q)
+            np.divide(grad, q, out=q)
+            q *= rate
+            param[rows] -= q
+
+        def summed(at: np.ndarray, grad: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """The rows in ``at``, once each, with the sums of their gradients."""
+            # numbers of 16 bits are sorted by radix
+            order = np.argsort(at.astype(np.uint16) if at_class <= 1 << 15 else at, kind="stable")
             at = at[order]
-            starts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-            return at[starts], np.add.reduceat(grad[order], starts, axis=0)
-
-        def contrast(h: np.ndarray, vec: np.ndarray, bias: np.ndarray, log: np.ndarray, w: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            """Gradients of the context's vectors, of vec and of bias; words w, noise x."""
-            less = log + np.float32(np.log(len(x)))
-            s = np.einsum("ij,ij->i", h, vec[w]) + (bias - less)[w]
-            t = h @ vec[x].T + (bias - less)[x]
-            gs = -1 / (1 + np.exp(s))
-            gt = 1 / (1 + np.exp(-t))
-            gh = gs[:, None] * vec[w] + gt @ vec[x]
-            rows, g = scatter(np.concatenate([w, x]), np.column_stack([np.concatenate([gs[:, None] * h, gt.T @ h]), np.concatenate([gs, gt.sum(0)])]))
-            return gh, rows, g
+            starts = heads(at)
+            return at[starts], np.add.reduceat(grad.take(order, axis=0), starts, axis=0)
+
+        def heads(x: np.ndarray) -> np.ndarray:
+            return np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
 
         for _ in range(epochs):
             order = rng.permutation(len(word))
             for lo in range(0, len(order), batch):
                 at = order[lo : lo + batch]
-                at = at[np.argsort(word[at], kind="stable")]
+                at = at[np.argsort(word[at])]
                 a, b, w = one[at], two[at], word[at]
                 n = np.float32(len(at))
-                h = self.vectors(a, b)
+                h = np.ones((len(at), SIZE + 1), np.float32)
+                before = self.context.take(a, axis=0), self.context.take(b, axis=0)
+                h[:, :-1] = before[0] @ self.place[0] + before[1] @ self.place[1]
                 c = self.of[w]
+                starts = heads(c)
+                present = c[starts]
+                # the classes, against noise classes that all rows share
                 x = np.minimum(np.searchsorted(cum_class, rng.random(noise)), len(cum_class) - 1)
-                gh, rows, g = contrast(h, self.classes, self.class_bias, log_class, c, x)
+                own, other = self.classes.take(c, axis=0), self.classes[x]
+                gs = -1 / (1 + np.exp(np.einsum("ij,ij->i", h, own) - log_class[c]))
+                gt = 1 / (1 + np.exp(log_class[x] - h @ other.T))
+                gh = gs[:, None] * own + gt @ other
+                rows, g = summed(np.concatenate([present, x]), np.concatenate([np.add.reduceat(gs[:, None] * h, starts, axis=0), gt.T @ h]))
                 g /= n
-                step("classes", g[:, :-1], rows)
-                step("class_bias", g[:, -1], rows)
+                step("classes", g, rows)
                 uses[at_class + rows] += 1
-                cut = np.append(np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]])), len(c))
-                for i, j in zip(cut[:-1].tolist(), cut[1:].tolist()):
-                    k = c[i]
-                    m = int(size[k])
-                    if m == 1:
-                        continue
-                    f, e = int(self.first[k]), int(self.first[k + 1])
-                    low, high = cum_word[f], cum_word[e]
-                    x = np.clip(np.searchsorted(cum_word[f + 1 : e], low + (high - low) * rng.random(min(noise, 2 * m)), "right"), 0, m - 1)
-                    part, rows, g = contrast(h[i:j], self.target[f:e], self.bias[f:e], log_word[f:e], w[i:j] - f, x)
-                    gh[i:j] += part
-                    g /= n
-                    step("target", g[:, :-1], rows + f)
-                    step("bias", g[:, -1], rows + f)
-                    uses[rows + f] += 1
-                gh /= n
-                gp = np.stack([self.context[a].T @ gh, self.context[b].T @ gh])
-                rows, g = scatter(np.concatenate([a, b]), np.concatenate([gh @ self.place[0].T, gh @ self.place[1].T]))
+                # the words, against noise words that all rows of their class share
+                own = self.words.take(w, axis=0)
+                gs = -1 / (1 + np.exp(np.einsum("ij,ij->i", h, own) - log_word[w]))
+                gs[alone[c]] = 0
+                gh += gs[:, None] * own
+                firsts = heads(w)
+                keep = ~alone[c[firsts]]
+                grads, rows = [np.add.reduceat(gs[:, None] * h, firsts, axis=0)[keep]], [w[firsts][keep]]
+                ends = np.append(starts[1:], len(c))
+                several = np.flatnonzero(~alone[present])
+                if len(several):
+                    low, high = cum_word[self.first[present[several]]][:, None], cum_word[self.first[present[several] + 1]][:, None]
+                    x = np.searchsorted(cum_word, low + (high - low) * rng.random((len(several), noise)), "right") - 1
+                    x = np.clip(x, self.first[present[several]][:, None], self.first[present[several] + 1][:, None] - 1)
+                    other, log = self.words.take(x, axis=0), log_word[x]
+                    for k, i, j in zip(range(len(several)), starts[several].tolist(), ends[several].tolist()):
+                        hk, ok = h[i:j], other[k]
+                        t = hk @ ok.T
+                        np.subtract(log[k], t, out=t)
+                        np.exp(t, out=t)
+                        t += 1
+                        np.reciprocal(t, out=t)
+                        gh[i:j] += t @ ok
+                        grads.append(t.T @ hk)
+                    rows.append(x.ravel())
+                rows, g = summed(np.concatenate(rows), np.concatenate(grads))
+                g /= n
+                if len(rows):
+                    step("words", g, rows)
+                    uses[rows] += 1
+                gh = gh[:, :-1] / n
+                place[0], place[1] = before[0].T @ gh, before[1].T @ gh
+                rows, g = summed(np.concatenate([a, b]), np.concatenate([gh @ self.place[0].T, gh @ self.place[1].T]))
                 step("context", g, rows)
                 uses[at_context + rows] += 1
-                step("place", gp)
+                step("place", place)
                 uses[-2 * SIZE :] += 1
         return past
 
@@ -230,9 +249,9 @@ class Model:
         order = np.argsort(self.of[word], kind="stable")
         out = np.empty(len(word))
 
-        def among(h: np.ndarray, vec: np.ndarray, bias: np.ndarray, w: np.ndarray) -> np.ndarray:
-            x = h @ vec.T
-            x += bias
+        def among(h: np.ndarray, rows: np.ndarray, w: np.ndarray) -> np.ndarray:
+            x = h @ rows[:, :-1].T
+            x += rows[:, -1]
             x -= x.max(1)[:, None]
             own = x[np.arange(len(w)), w]
             np.exp(x, out=x)
@@ -243,13 +262,13 @@ class Model:
             w = word[at]
             c = self.of[w]
             h = self.vectors(one[at], two[at])
-            got = np.concatenate([among(h[i : i + 4096], self.classes, self.class_bias, c[i : i + 4096]) for i in range(0, len(w), 4096)])
+            got = np.concatenate([among(h[i : i + 4096], self.classes, c[i : i + 4096]) for i in range(0, len(w), 4096)])
             cut = np.append(np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]])), len(c))
             for i, j in zip(cut[:-1].tolist(), cut[1:].tolist()):
                 f, e = int(self.first[c[i]]), int(self.first[c[i] + 1])
                 for q in range(i, j if e - f > 1 else i, 4096):
                     r = min(q + 4096, j)
-                    got[q:r] += among(h[q:r], self.target[f:e], self.bias[f:e], w[q:r] - f)
+                    got[q:r] += among(h[q:r], self.words[f:e], w[q:r] - f)
             out[at] = got
         return out / np.log(10)
 
