@@ -21,7 +21,7 @@ form is empty are never removed; rows equal in id and text are one document and
 share its decisions; null ids come after all others. ``removals`` reads only the named columns;
 ``dedupe`` returns all columns of its input, without texts of which nothing but white space is
 left after a removal. An empty table gives an empty result. Nodes are 64-bit hashes of normal
-forms.
+forms; lines are only removed as equal, or as those compared, by 128 bits.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .components import components, roots
 from .kernels import U64, flat, lower_ascii, mix, pieces
-from .store import Scratch, tune
+from .store import Scratch, input_bytes, tune
 
 SHINGLE, NEAR = 5, 0.8
 #: Signatures are of longer shingles: lines that merely share a language share few of them, so that
@@ -49,6 +49,8 @@ SHORT = 20
 SENT = 1 << 17
 #: Nodes that hang together and are compared within one task, at most.
 FAMILY = 20_000
+#: Bytes of input for each part of the bands, at most.
+PART = 128 << 20
 #: Bits of the filter of nodes whose texts are fetched: its size doesn't grow with the data.
 FILTER_BITS = 26
 
@@ -110,15 +112,17 @@ def pick(norm: np.ndarray, bounds: np.ndarray, which: np.ndarray) -> tuple[np.nd
     return norm[np.repeat(on, size)], np.append(0, np.cumsum(size[which]))
 
 
-def _nodes(norm: np.ndarray, bounds: np.ndarray, which: np.ndarray) -> np.ndarray:
+def _nodes(norm: np.ndarray, bounds: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The lines' nodes, and 64 more bits of their normal forms."""
     raw = memoryview(np.ascontiguousarray(norm))
-    return np.frombuffer(b"".join(hashlib.blake2b(raw[a:b], digest_size=8).digest() for a, b in zip(bounds[which].tolist(), bounds[which + 1].tolist())), np.int64)
+    both = np.frombuffer(b"".join(hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(bounds[which].tolist(), bounds[which + 1].tolist())), np.int64).reshape(-1, 2)
+    return np.ascontiguousarray(both[:, 0]), np.ascontiguousarray(both[:, 1])
 
 
 def _tables(docs: DataFrame, id_col: str, text_col: str, parts: int) -> DataFrame:
-    """Kind 0: a line (id, row, line, node = x). 3: a text with so many lines. 4: a node x in a bucket y with others. 5: nodes x and y of one bucket."""
+    """Kind 0: a line (id, row, line, node = x, more bits of its form = y). 3: a text with so many lines. 4: a node x in a bucket y with others. 5: nodes x and y of one bucket."""
     kind = dict(docs.dtypes)[id_col]
-    names = ["part", "kind", "id", "row", "line", "x", "pack"]
+    names = ["part", "kind", "id", "row", "line", "x", "y", "pack"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -132,7 +136,7 @@ def _tables(docs: DataFrame, id_col: str, text_col: str, parts: int) -> DataFram
             full = np.flatnonzero(cut[1:] > cut[:-1])
             n = len(full)
             blobs = [table[cut[p] : cut[p + 1]].tobytes() for p in full]
-            return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(np.full(n, code, np.int8)), pa.nulls(n, id_type), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.array(blobs, pa.binary())], names=names)
+            return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(np.full(n, code, np.int8)), pa.nulls(n, id_type), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(blobs, pa.binary())], names=names)
 
         def send() -> Iterator[pa.RecordBatch]:
             y, x = np.concatenate(bucket).view(np.int64), np.concatenate(member)
@@ -148,23 +152,23 @@ def _tables(docs: DataFrame, id_col: str, text_col: str, parts: int) -> DataFram
             member.clear()
 
         for batch in batches:
-            ids, rows = batch.column(0), batch.column(2)
+            ids, rows, spread = batch.column(0), batch.column(2), batch.column(3).to_numpy()
             id_type = ids.type
             buf, offs = flat(batch.column(1))
             for lo, hi, b, o in pieces(buf, offs, 1 << 18):
                 norm, bounds, doc, number = split(b, o)
                 size = np.diff(bounds)
                 which = np.flatnonzero(size)
-                node = _nodes(norm, bounds, which)
+                node, form = _nodes(norm, bounds, which)
                 long = size[which] >= SHORT
                 at = pa.array(lo + doc[which])
                 n = len(which)
-                # short lines, of which many are alike, go with their texts, not all to one place
-                place = np.where(long, node, rows.to_numpy()[lo + doc[which]]) % parts
-                yield pa.RecordBatch.from_arrays([pa.array(place.astype(np.int32)), pa.array(np.zeros(n, np.int8)), ids.take(at), rows.take(at), pa.array(number[which].astype(np.int32)), pa.array(node), pa.nulls(n, pa.binary())], names=names)
+                # lines, of which a third may be alike, go where their texts' rows go, not all to one place
+                place = spread[lo + doc[which]] % parts
+                yield pa.RecordBatch.from_arrays([pa.array(place.astype(np.int32)), pa.array(np.zeros(n, np.int8)), ids.take(at), rows.take(at), pa.array(number[which].astype(np.int32)), pa.array(node), pa.array(form), pa.nulls(n, pa.binary())], names=names)
                 n = hi - lo
-                row = rows.slice(lo, n)
-                yield pa.RecordBatch.from_arrays([pa.array((row.to_numpy() % parts).astype(np.int32)), pa.array(np.full(n, 3, np.int8)), ids.slice(lo, n), row, pa.array(np.bincount(doc, minlength=n).astype(np.int32)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], names=names)
+                none = pa.nulls(n, pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array((spread[lo:hi] % parts).astype(np.int32)), pa.array(np.full(n, 3, np.int8)), ids.slice(lo, n), rows.slice(lo, n), pa.array(np.bincount(doc, minlength=n).astype(np.int32)), none, none, pa.nulls(n, pa.binary())], names=names)
                 new = []
                 for i in np.flatnonzero(long).tolist():
                     x = int(node[i])
@@ -193,9 +197,9 @@ def _tables(docs: DataFrame, id_col: str, text_col: str, parts: int) -> DataFram
             id_type = batch.column(2).type
             code = batch.column(1).to_numpy()
             for i in np.flatnonzero((code == 1) | (code == 2)).tolist():
-                (single if code[i] == 1 else beside).append(np.frombuffer(batch.column(6)[i].as_py(), np.int64))
+                (single if code[i] == 1 else beside).append(np.frombuffer(batch.column(7)[i].as_py(), np.int64))
             rows = batch.filter(pa.array((code == 0) | (code == 3)))
-            yield pa.RecordBatch.from_arrays([*rows.columns[2:6], pa.nulls(rows.num_rows, pa.int64()), rows.column(1)], names=out)
+            yield pa.RecordBatch.from_arrays([*rows.columns[2:7], rows.column(1)], names=out)
         if beside:
             t = np.concatenate(beside).reshape(-1, 3)
             yield plain(4, np.concatenate([t[:, 1], t[:, 2]]), np.concatenate([t[:, 0], t[:, 0]]))
@@ -215,8 +219,8 @@ def _tables(docs: DataFrame, id_col: str, text_col: str, parts: int) -> DataFram
             e = np.unique(np.stack([x[first[more]], x[more]], 1), axis=0)
             yield plain(5, np.ascontiguousarray(e[:, 0]), np.ascontiguousarray(e[:, 1]))
 
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("row"))
-    sent = source.mapInArrow(run, f"part int, kind tinyint, id {kind}, row long, line int, x long, pack binary")
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("row"), F.pmod(F.xxhash64(id_col, text_col), F.lit(1 << 31)).alias("spread"))
+    sent = source.mapInArrow(run, f"part int, kind tinyint, id {kind}, row long, line int, x long, y long, pack binary")
     return sent.repartition(parts, "part").mapInArrow(meet, f"id {kind}, row long, line int, x long, y long, kind tinyint")
 
 
@@ -229,7 +233,7 @@ def _filter(nodes: DataFrame) -> np.ndarray:
 
 
 def _texts(docs: DataFrame, text_col: str, wanted: np.ndarray) -> DataFrame:
-    """(node, normal form) of the lines whose node passes the filter, perhaps several times."""
+    """(node, form, normal form) of the lines whose node passes the filter, perhaps several times."""
     shared = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,14 +244,14 @@ def _texts(docs: DataFrame, text_col: str, wanted: np.ndarray) -> DataFrame:
             for _, _, b, o in pieces(*flat(batch.column(0))):
                 norm, bounds, _, _ = split(b, o)
                 which = np.flatnonzero(np.diff(bounds) >= SHORT)
-                node = _nodes(norm, bounds, which)
+                node, form = _nodes(norm, bounds, which)
                 bit = node & ((1 << FILTER_BITS) - 1)
                 ok = np.flatnonzero(shared.value[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).tolist()
                 ok = [i for i, x in zip(ok, node[ok].tolist()) if not (x in seen or seen.add(x))]
                 raw = norm.tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array(node[ok]), pa.array([raw[bounds[i] : bounds[i + 1]] for i in which[ok]], pa.binary())], names=["node", "norm"])
+                yield pa.RecordBatch.from_arrays([pa.array(node[ok]), pa.array(form[ok]), pa.array([raw[bounds[i] : bounds[i + 1]] for i in which[ok]], pa.binary())], names=["node", "form", "norm"])
 
-    return docs.select(text_col).mapInArrow(run, "node long, norm binary")
+    return docs.select(text_col).mapInArrow(run, "node long, form long, norm binary")
 
 
 def shingle_sets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -347,26 +351,28 @@ def compare(texts: list[bytes], bucket: np.ndarray, member: np.ndarray, near: fl
 
 
 def _families(rows: DataFrame, near: float) -> DataFrame:
-    """(node, component) of the nodes of whole families: rows (family, node, bucket or null, text or null)."""
+    """(node, form, component) of the nodes of whole families: rows (family, node, bucket or else form, text or null)."""
 
     def done(node: np.ndarray, bucket: np.ndarray, text: list[bytes | None]) -> pa.RecordBatch:
         has = np.array([t is not None for t in text], bool)
-        ids, at = np.unique(node[has], return_index=True)
-        where = np.flatnonzero(has)[at]
+        where = np.flatnonzero(has)
+        where = where[np.lexsort((bucket[where], node[where]))]
+        ids, at = np.unique(node[where], return_index=True)
+        where = where[at]
         member = node[~has]
         if len(ids) and len(member):
             up = compare([text[i] for i in where.tolist()], bucket[~has], np.searchsorted(ids, member), near)
             on = np.flatnonzero(np.bincount(up, minlength=len(ids))[up] > 1)
         else:
             up, on = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(ids[on], pa.int64()), pa.array(ids[up[on]], pa.int64())], names=["node", "component"])
+        return pa.RecordBatch.from_arrays([pa.array(ids[on], pa.int64()), pa.array(bucket[where[on]], pa.int64()), pa.array(ids[up[on]], pa.int64())], names=["node", "form", "component"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray, list]] = []
         size = 0
         for batch in batches:
             family, node = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            bucket = batch.column(2).fill_null(0).to_numpy()
+            bucket = batch.column(2).to_numpy()
             held.append((family, node, bucket, batch.column(3).to_pylist()))
             size += batch.nbytes
             if size < 4 << 20:
@@ -383,7 +389,7 @@ def _families(rows: DataFrame, near: float) -> DataFrame:
         if held:
             yield done(np.concatenate([h[1] for h in held]), np.concatenate([h[2] for h in held]), [x for h in held for x in h[3]])
 
-    return rows.repartition("family").sortWithinPartitions("family").mapInArrow(run, "node long, component long")
+    return rows.repartition("family").sortWithinPartitions("family").mapInArrow(run, "node long, form long, component long")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, near: float) -> DataFrame:
@@ -404,8 +410,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, near: float) -> DataFrame:
 
 
 def _large_families(members: DataFrame, texts: DataFrame, near: float, scratch: Scratch) -> DataFrame:
-    """(node, component), as ``_families`` finds it, without gathering a family."""
-    texts = scratch.cut(texts.dropDuplicates(["node"]), "texts")
+    """(node, form, component), as ``_families`` finds it, without gathering a family."""
+    texts = scratch.cut(texts.groupBy("node").agg(F.min(F.struct("form", "norm")).alias("t")).select("node", "t.form", "t.norm"), "texts")
     centers = members.groupBy("bucket").agg(F.min("node").alias("a"))
     pairs = scratch.cut(members.join(centers, "bucket").where("node <> a").select("a", F.col("node").alias("b")).distinct(), "pairs")
     edges = scratch.cut(_verified(pairs, texts, near), "edges")
@@ -416,34 +422,37 @@ def _large_families(members: DataFrame, texts: DataFrame, near: float, scratch:
     other = placed.select("bucket", F.col("node").alias("other"), F.col("component").alias("other_component"))
     cross = placed.join(other, "bucket").where("component <> other_component AND node < other").select(F.col("node").alias("a"), F.col("other").alias("b")).distinct()
     more = scratch.cut(_verified(cross.join(pairs, ["a", "b"], "left_anti"), texts, near), "edges")
-    return components(edges.unionByName(more), scratch) if more.head(1) else groups
+    found = components(edges.unionByName(more), scratch) if more.head(1) else groups
+    return found.join(texts.select("node", "form"), "node").select("node", "form", "component")
 
 
 def _decided(docs: DataFrame, id_col: str, text_col: str, near: float, family: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """The tables of ``_tables``, and (id, row, removed, kept_in) of the texts that lose lines."""
     tune(docs.sparkSession)
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # what meets in one task stays in its memory: the parts grow with the input
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), input_bytes(docs) // PART)
     t = scratch.cut(_tables(docs, id_col, text_col, parts), "lines", "kind")
     families = scratch.cut(components(t.where("kind = 5").select(F.col("x").alias("a"), F.col("y").alias("b")), scratch).withColumnRenamed("component", "family"), "families")
     large = scratch.cut(families.groupBy("family").count().where(F.col("count") > family).select("family"), "large")
     members = t.where("kind = 4").select(F.col("x").alias("node"), F.col("y").alias("bucket")).join(families, "node")
     texts = _texts(docs, text_col, _filter(families)).join(families, "node")
-    rows = members.select("family", "node", "bucket", F.lit(None).cast("binary").alias("norm")).unionByName(texts.select("family", "node", F.lit(None).cast("long").alias("bucket"), "norm"))
+    rows = members.select("family", "node", "bucket", F.lit(None).cast("binary").alias("norm")).unionByName(texts.select("family", "node", F.col("form").alias("bucket"), "norm"))
     some = bool(large.head(1))
     if some:
         rows = rows.join(large, "family", "left_anti")
     groups = _families(rows, near)
     if some:
         wide = scratch.cut(members.join(large, "family", "left_semi").select("bucket", "node").distinct(), "members")
-        groups = groups.unionByName(_large_families(wide, texts.join(large, "family", "left_semi").select("node", "norm"), near, scratch))
+        groups = groups.unionByName(_large_families(wide, texts.join(large, "family", "left_semi").select("node", "form", "norm"), near, scratch))
     groups = scratch.cut(groups, "groups")
     where = F.struct(F.col("id").isNull().alias("last"), F.col("id").alias("id"), F.col("row").alias("row"), F.col("line").alias("line"))
-    lines = t.where("kind = 0").select("id", "row", "line", F.col("x").alias("node"))
-    by_node = lines.groupBy("node").agg(F.min(where).alias("first"), F.max(where).alias("final"))
-    by_node = by_node.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    heads = by_node.groupBy("component").agg(F.min("first").alias("head"), F.max("final").alias("final")).where(~F.col("head").eqNullSafe(F.col("final"))).select("component", "head")
-    lost = by_node.select("node", "component").join(heads, "component").select("node", "head")
-    gone = lines.join(lost, "node").where(~where.eqNullSafe(F.col("head")))
+    lines = t.where("kind = 0").select("id", "row", "line", F.col("x").alias("node"), F.col("y").alias("form"))
+    by_node = lines.groupBy("node", "form").agg(F.min(where).alias("first"), F.max(where).alias("final"))
+    # lines of a component, or else of one form
+    by_node = by_node.join(groups, ["node", "form"], "left").select("node", "form", "first", "final", F.coalesce("component", "node").alias("component"), F.when(F.col("component").isNull(), F.col("form")).otherwise(0).alias("alone"))
+    heads = by_node.groupBy("component", "alone").agg(F.min("first").alias("head"), F.max("final").alias("final")).where(~F.col("head").eqNullSafe(F.col("final"))).select("component", "alone", "head")
+    lost = by_node.select("node", "form", "component", "alone").join(heads, ["component", "alone"]).select("node", "form", "head")
+    gone = lines.join(lost, ["node", "form"]).where(~where.eqNullSafe(F.col("head")))
     by_text = gone.select("id", "row", "line", F.col("head.id").alias("kept")).groupBy("id", "row").agg(F.sort_array(F.collect_set("line")).alias("removed"), F.sort_array(F.collect_set("kept")).alias("kept_in"))
     return t, by_text
 
