@@ -12,7 +12,8 @@ distance ``DESIGN`` is found with probability ``RECALL`` at every size. A bucket
 nodes is cut by additional sampled bits, in several ways at once, with the same recall; what is
 then still beyond ``CAP`` is compared whole, in tiles. Pairs are compared within a task and
 never sent: a task returns each node's links and a root of its group. A pair that meets in
-several buckets is counted in the first only. Groups are joined by distributed union-find.
+several buckets is counted in the first only. Groups are joined by distributed union-find. Candidates travel packed,
+a row for each task that they go to; which buckets are oversized is told by a share of the nodes.
 
 Defined results: a null text reads as the empty text; a text without words is hashed whole, so
 all empty texts are copies of each other; equal rows, also with equal or null ids, are copies;
@@ -101,7 +102,8 @@ def tables_for(bits: int, recall: float = RECALL, design: float = DESIGN) -> int
 
 
 def bits_for(nodes: int) -> int:
-    return int(min(40, max(10, math.ceil(math.log2(max(nodes, 2))) - 3)))
+    """So many that a bucket has some 64 nodes: fewer, fuller buckets need fewer tables, and comparing is cheaper than sending."""
+    return int(min(40, max(10, math.ceil(math.log2(max(nodes, 2))) - 6)))
 
 
 def bucket(fp: np.ndarray, mask: np.ndarray) -> np.ndarray:
@@ -130,7 +132,7 @@ def _pairs(group: np.ndarray, side: np.ndarray, fp: np.ndarray, most: int) -> It
         ok = (d <= most) & ((side[i] == 0) | (side[i] != side[j]))
         return i[ok], j[ok]
 
-    small = size <= 48
+    small = size <= 16
     end = np.repeat(np.append(start[1:], n), size)
     left = np.flatnonzero(np.repeat(small, size))
     step = 1
@@ -140,12 +142,25 @@ def _pairs(group: np.ndarray, side: np.ndarray, fp: np.ndarray, most: int) -> It
             i = left[lo : lo + (1 << 18)]
             yield close(i, i + step)
         step += 1
+    words = [np.ascontiguousarray(fp[:, k]) for k in range(4)]
+    held: list[tuple[np.ndarray, np.ndarray]] = []
     for s, m in zip(start[~small].tolist(), size[~small].tolist()):
-        rows = max(1, (1 << 18) // m)
-        for a in range(0, m, rows):
-            i, j = np.meshgrid(np.arange(a, min(a + rows, m)), np.arange(m), indexing="ij")
+        rows = max(1, (1 << 17) // m)
+        for a in range(s, s + m, rows):
+            z = min(a + rows, s + m)
+            d = np.zeros((z - a, s + m - a), np.uint16)
+            for w in words:
+                d += np.bitwise_count(w[a:z, None] ^ w[None, a : s + m])
+            i, j = np.nonzero(d <= most)
             ok = j > i
-            yield close(s + i[ok], s + j[ok])
+            i, j = i[ok] + a, j[ok] + a
+            ok = (side[i] == 0) | (side[i] != side[j])
+            held.append((i[ok], j[ok]))
+        if len(held) > 256:
+            yield tuple(np.concatenate(x) for x in zip(*held))
+            held = []
+    if held:
+        yield tuple(np.concatenate(x) for x in zip(*held))
 
 
 def match(node: np.ndarray, fp: np.ndarray, weight: np.ndarray, table: np.ndarray, sub: np.ndarray, group: np.ndarray, side: np.ndarray, big: np.ndarray, masks: np.ndarray, subs: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -237,13 +252,14 @@ def _links(nodes: DataFrame, scratch: Scratch, max_distance: int, cap: int, more
     subs = sampled(tables_for(more), more, 2)
     rows = _candidates(nodes, masks)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), count * len(masks) // TASK_ROWS)
-    # how full the buckets are: counted on the key alone, without fingerprints
-    full = scratch.cut(_candidates(nodes, masks).groupBy("table", "group").count().where(F.col("count") > cap), "full")
+    # How full the buckets are, by a share of the nodes, on the key alone. A bucket that is taken for too
+    # full, or not, by chance is only compared in another way.
+    rate = 16 if cap >= 1024 else 1
+    some = nodes.where(F.pmod(F.xxhash64("node", F.lit(3)), F.lit(rate)) == 0)
+    full = scratch.cut(_candidates(some, masks).groupBy("table", "group").count().where(F.col("count") > (cap // rate * 3 // 4 if rate > 1 else cap)), "full")
     rows = rows.withColumn("sub", F.lit(0)).withColumn("side", F.lit(0))
     cut = bool(full.head(1))
-    if not cut:
-        rows = rows.withColumn("big", F.lit(None).cast("array<int>"))
-    else:
+    if cut:
         hit = rows.join(full.select("table", "group", F.lit(True).alias("over")), ["table", "group"], "left")
         flags = hit.where("over").groupBy("node").agg(F.sort_array(F.collect_set("table")).alias("big"))
         hit = hit.join(flags, "node", "left")
@@ -275,6 +291,12 @@ def _links(nodes: DataFrame, scratch: Scratch, max_distance: int, cap: int, more
         rows = hit.where("over IS NULL").select(columns).unionByName(wide.where("chunks IS NULL").select(columns)).unionByName(tiled.select(columns))
     tables = len(masks)
 
+    def found(col: dict[str, np.ndarray], fp: np.ndarray, big: np.ndarray) -> pa.RecordBatch:
+        # two tables, or two cuts, may share a key: the group is all three
+        key = mix(col["group"].view(U64) ^ mix((col["table"].astype(U64) << U64(16)) + col["sub"].astype(U64) + U64(1)))
+        node, links, root = match(col["node"], fp, col["weight"], col["table"], col["sub"], key, col["side"], big, masks, subs, max_distance)
+        return pa.RecordBatch.from_arrays([pa.array(node), pa.array(links), pa.array(root)], names=["node", "links", "root"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [b for b in batches if b.num_rows]
         if not got:
@@ -282,44 +304,70 @@ def _links(nodes: DataFrame, scratch: Scratch, max_distance: int, cap: int, more
         t = pa.Table.from_batches(got)
         col = {c: t.column(c).to_numpy() for c in ("node", "weight", "table", "sub", "group", "side")}
         fp = np.stack([t.column(c).to_numpy() for c in _FP], 1).view(U64)
-        big = np.zeros((t.num_rows, tables if cut else 1), bool)
-        if cut:
-            for i, some in enumerate(t.column("big").to_pylist()):
-                big[i, some or []] = True
-        # two tables, or two cuts, may share a key: the group is all three
-        key = mix(col["group"].view(U64) ^ mix((col["table"].astype(U64) << U64(16)) + col["sub"].astype(U64) + U64(1)))
-        node, links, root = match(col["node"], fp, col["weight"], col["table"], col["sub"], key, col["side"], big, masks, subs, max_distance)
-        yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(links), pa.array(root)], names=["node", "links", "root"])
+        big = np.zeros((t.num_rows, tables), bool)
+        for i, some in enumerate(t.column("big").to_pylist()):
+            big[i, some or []] = True
+        yield found(col, fp, big)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            base = np.stack([c.to_numpy() for c in batch.columns], 1)
+            fp = np.ascontiguousarray(base[:, 1:5]).view(U64)
+            every = []
+            for t in range(tables):
+                key = bucket(fp, masks[t]) ^ U64(t)
+                every.append(np.column_stack([np.full(len(base), t), key.view(np.int64), base]))
+            table = np.concatenate(every)
+            part = (mix(table[:, 1].view(U64) + U64(5)) % U64(parts)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            table, bounds = table[order], np.searchsorted(part[order], np.arange(parts + 1))
+            on = np.flatnonzero(bounds[1:] > bounds[:-1])
+            yield pa.RecordBatch.from_arrays([pa.array(on.astype(np.int32)), pa.array([table[bounds[p] : bounds[p + 1]].tobytes() for p in on], pa.binary())], names=["part", "pack"])
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by: dict[int, list[np.ndarray]] = {}
+        for batch in batches:
+            for p, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                by.setdefault(p, []).append(np.frombuffer(x, np.int64).reshape(-1, 8))
+        for p in list(by):
+            t = np.concatenate(by.pop(p))
+            none = np.zeros(len(t), np.int64)
+            col = {"table": t[:, 0], "group": np.ascontiguousarray(t[:, 1]), "node": t[:, 2], "weight": t[:, 7], "sub": none, "side": none}
+            yield found(col, np.ascontiguousarray(t[:, 3:7]).view(U64), np.zeros((len(t), 1), bool))
 
-    return rows.repartition(parts, "table", "sub", "group").mapInArrow(run, "node long, links long, root long")
+    ddl = "node long, links long, root long"
+    if cut:
+        return rows.repartition(parts, "table", "sub", "group").mapInArrow(run, ddl)
+    return nodes.select("node", *_FP, "weight").mapInArrow(pack, "part int, pack binary").repartition(parts, "part").mapInArrow(unpack, ddl)
 
 
 def _grouped(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, max_distance: int, cap: int, more: int) -> tuple[DataFrame, DataFrame]:
     """(id, digest, node) of every row; (node, class_id, links, texts) of every node."""
     tune(docs.sparkSession)
     rows = scratch.cut(signatures(docs, id_col, text_col).withColumn("node", F.xxhash64(*_FP)), "signatures")
-    texts = rows.groupBy("digest", "node", *_FP).agg(F.min("id").alias("least"))
-    nodes = scratch.cut(texts.groupBy("node").agg(*(F.first(c).alias(c) for c in _FP), F.count("*").alias("weight"), F.min("least").alias("least")), "nodes")
+    texts = rows.groupBy("digest", "node", *_FP).agg(F.min("id").alias("least"), F.count("*").alias("rows"))
+    nodes = scratch.cut(texts.groupBy("node").agg(*(F.first(c).alias(c) for c in _FP), F.count("*").alias("weight"), F.min("least").alias("least"), F.sum("rows").alias("rows")), "nodes")
     found = scratch.cut(_links(nodes, scratch, max_distance, cap, more), "links")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     groups = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")), scratch)
-    full = nodes.select("node", "weight", "least").join(links, "node", "left").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    heads = full.groupBy("component").agg(F.min("least").alias("class_id"))
-    return rows.select("id", "digest", "node"), full.join(heads, "component").select("node", "component", "class_id", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
+    full = nodes.select("node", "weight", "least", "rows").join(links, "node", "left").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    heads = full.groupBy("component").agg(F.min("least").alias("class_id"), F.sum("rows").alias("class_size"))
+    return rows.select("id", "digest", "node"), full.join(heads, "component").select("node", "component", "class_id", "class_size", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_distance: int = MAX_DISTANCE, cap: int = CAP, more: int = MORE) -> DataFrame:
-    """(id, class_id, n_links, n_copies) of every row.
+    """(id, class_id, class_size, n_links, n_copies) of every row.
 
-    ``class_id`` is the smallest id of the row's group of near duplicates; ``n_links`` counts the
-    different texts that its text is linked to, ``n_copies`` the other rows with its very text.
+    ``class_id`` is the smallest id of the row's group of near duplicates, ``class_size`` the
+    number of its rows; ``n_links`` counts the different texts that the row's text is linked to,
+    ``n_copies`` the other rows with its very text.
     """
     scratch = Scratch(docs.sparkSession)
     rows, nodes = _grouped(docs, scratch, id_col, text_col, max_distance, cap, more)
     copies = rows.groupBy("digest").agg((F.count("*") - 1).alias("n_copies"))
     copies = copies.where("n_copies > 0")
     out = rows.join(nodes, "node").join(copies, "digest", "left")
-    return out.select(F.col("id").alias(id_col), "class_id", "n_links", F.coalesce("n_copies", F.lit(0)).alias("n_copies"))
+    return out.select(F.col("id").alias(id_col), "class_id", "class_size", "n_links", F.coalesce("n_copies", F.lit(0)).alias("n_copies"))
 
 
 def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_distance: int = MAX_DISTANCE, cap: int = CAP, more: int = MORE) -> DataFrame:
