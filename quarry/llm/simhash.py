@@ -44,6 +44,8 @@ DESIGN, RECALL = 0.15, 0.98
 CAP = 4096
 #: Additional bits of an oversized bucket's cuts.
 MORE = 8
+#: Oversized buckets whose numbers are sent to all tasks, at most: 8 bytes each.
+LISTED = 1 << 20
 #: Rows of candidates in one task, about.
 TASK_ROWS = 200_000
 
@@ -243,6 +245,41 @@ def _candidates(nodes: DataFrame, masks: np.ndarray) -> DataFrame:
     return nodes.select("node", *_FP, "weight").mapInArrow(run, f"table int, group long, node long, {_FP_DDL}, weight long")
 
 
+def _ident(table: np.ndarray | int, sub: np.ndarray | int, group: np.ndarray) -> np.ndarray:
+    """A number for each bucket: two tables, or two cuts, may share a key."""
+    return mix(group.view(U64) ^ mix((np.asarray(table, U64) << U64(16)) + np.asarray(sub, U64) + U64(1)))
+
+
+def _result(col: dict[str, np.ndarray], fp: np.ndarray, big: np.ndarray, masks: np.ndarray, subs: np.ndarray, most: int) -> pa.RecordBatch:
+    key = _ident(col["table"], col["sub"], col["group"])
+    node, links, root = match(col["node"], fp, col["weight"], col["table"], col["sub"], key, col["side"], big, masks, subs, most)
+    return pa.RecordBatch.from_arrays([pa.array(node), pa.array(links), pa.array(root)], names=["node", "links", "root"])
+
+
+_LINKS = "node long, links long, root long"
+
+
+class Full:
+    """Oversized buckets, and those of their cuts that are still too full, with the chunks that these are compared in."""
+
+    def __init__(self, buckets: np.ndarray, still: np.ndarray, chunks: np.ndarray):
+        self.buckets = np.sort(buckets)
+        order = np.argsort(still)
+        self.still, self.chunks = still[order], chunks[order]
+
+    def has(self, ident: np.ndarray) -> np.ndarray:
+        if not len(self.buckets):
+            return np.zeros(len(ident), bool)
+        return self.buckets[np.minimum(np.searchsorted(self.buckets, ident), len(self.buckets) - 1)] == ident
+
+    def parts(self, ident: np.ndarray) -> np.ndarray:
+        """The chunks of each cut, 0 where it isn't too full."""
+        if not len(self.still):
+            return np.zeros(len(ident), np.int64)
+        at = np.minimum(np.searchsorted(self.still, ident), len(self.still) - 1)
+        return np.where(self.still[at] == ident, self.chunks[at], 0)
+
+
 def _links(nodes: DataFrame, scratch: Scratch, max_distance: int, cap: int, more: int) -> DataFrame:
     """(node, links, root) of all nodes that have a link, several rows for a node."""
     spark = nodes.sparkSession
@@ -250,77 +287,76 @@ def _links(nodes: DataFrame, scratch: Scratch, max_distance: int, cap: int, more
     bits = bits_for(count)
     masks = sampled(tables_for(bits), bits, 1)
     subs = sampled(tables_for(more), more, 2)
-    rows = _candidates(nodes, masks)
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), count * len(masks) // TASK_ROWS)
+    tables = len(masks)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), count * tables // TASK_ROWS)
     # How full the buckets are, by a share of the nodes, on the key alone. A bucket that is taken for too
     # full, or not, by chance is only compared in another way.
     rate = 16 if cap >= 1024 else 1
-    some = nodes.where(F.pmod(F.xxhash64("node", F.lit(3)), F.lit(rate)) == 0)
-    full = scratch.cut(_candidates(some, masks).groupBy("table", "group").count().where(F.col("count") > (cap // rate * 3 // 4 if rate > 1 else cap)), "full")
-    rows = rows.withColumn("sub", F.lit(0)).withColumn("side", F.lit(0))
-    cut = bool(full.head(1))
-    if cut:
-        hit = rows.join(full.select("table", "group", F.lit(True).alias("over")), ["table", "group"], "left")
-        flags = hit.where("over").groupBy("node").agg(F.sort_array(F.collect_set("table")).alias("big"))
-        hit = hit.join(flags, "node", "left")
-        every = F.array(*(F.lit(m) for m in range(len(subs))))
-        wide = hit.where("over").withColumn("sub", F.explode(every))
-
-        def regroup(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    some = nodes.where(F.pmod(F.xxhash64("node", F.lit(3)), F.lit(rate)) == 0).select("node", *_FP, "weight")
+    least = cap // rate * 3 // 4 if rate > 1 else cap
+    full = scratch.cut(_candidates(some, masks).groupBy("table", "group").count().where(F.col("count") > least), "full")
+    if full.count() > LISTED:
+        return _joined(nodes, full, masks, subs, parts, max_distance, cap)
+    got = full.toArrow()
+    known = Full(_ident(got.column("table").to_numpy(), 0, got.column("group").to_numpy()), np.empty(0, U64), np.empty(0, np.int64))
+    if got.num_rows:
+        first = spark.sparkContext.broadcast(known)
+
+        def cuts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                at = {c: i for i, c in enumerate(batch.schema.names)}
-                fp = np.stack([batch.column(at[c]).to_numpy() for c in _FP], 1).view(U64)
-                sub = batch.column(at["sub"]).to_numpy()
-                key = batch.column(at["group"]).to_numpy().view(U64)
-                for m in np.unique(sub):
-                    on = sub == m
-                    key = np.where(on, mix(key ^ bucket(fp, subs[m])) + U64(m), key)
-                yield batch.set_column(at["group"], "group", pa.array(key.view(np.int64)))
-
-        columns = ["table", "group", "node", *_FP, "weight", "sub", "side", "big"]
-        wide = wide.select(columns)
-        wide = wide.mapInArrow(regroup, wide.schema)
-        # what more bits don't cut is compared in tiles: chunk x of the bucket meets chunk y
-        still = wide.groupBy("table", "sub", "group").count().where(F.col("count") > cap).select("table", "sub", "group", F.ceil(F.col("count") / cap).cast("int").alias("chunks"))
-        wide = wide.join(still, ["table", "sub", "group"], "left")
-        mine = F.pmod(F.xxhash64("node", F.lit(7)), F.col("chunks")).cast("int")
-        other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
-        tiled = wide.where("chunks IS NOT NULL").withColumn("mine", mine).withColumn("other", other)
-        tiled = tiled.withColumn("side", F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2))
-        tiled = tiled.withColumn("group", F.xxhash64("group", F.least("mine", "other"), F.greatest("mine", "other")))
-        rows = hit.where("over IS NULL").select(columns).unionByName(wide.where("chunks IS NULL").select(columns)).unionByName(tiled.select(columns))
-    tables = len(masks)
-
-    def found(col: dict[str, np.ndarray], fp: np.ndarray, big: np.ndarray) -> pa.RecordBatch:
-        # two tables, or two cuts, may share a key: the group is all three
-        key = mix(col["group"].view(U64) ^ mix((col["table"].astype(U64) << U64(16)) + col["sub"].astype(U64) + U64(1)))
-        node, links, root = match(col["node"], fp, col["weight"], col["table"], col["sub"], key, col["side"], big, masks, subs, max_distance)
-        return pa.RecordBatch.from_arrays([pa.array(node), pa.array(links), pa.array(root)], names=["node", "links", "root"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [b for b in batches if b.num_rows]
-        if not got:
-            return
-        t = pa.Table.from_batches(got)
-        col = {c: t.column(c).to_numpy() for c in ("node", "weight", "table", "sub", "group", "side")}
-        fp = np.stack([t.column(c).to_numpy() for c in _FP], 1).view(U64)
-        big = np.zeros((t.num_rows, tables), bool)
-        for i, some in enumerate(t.column("big").to_pylist()):
-            big[i, some or []] = True
-        yield found(col, fp, big)
+                fp = np.stack([c.to_numpy() for c in batch.columns[1:5]], 1).view(U64)
+                for t in range(tables):
+                    key = bucket(fp, masks[t]) ^ U64(t)
+                    on = np.flatnonzero(first.value.has(_ident(t, 0, key)))
+                    for m in range(len(subs)):
+                        cut = _ident(t, m, mix(key[on] ^ bucket(fp[on], subs[m])) + U64(m))
+                        yield pa.RecordBatch.from_arrays([pa.array(cut.view(np.int64))], names=["cut"])
+
+        still = scratch.cut(some.mapInArrow(cuts, "cut long").groupBy("cut").count().where(F.col("count") > least), "still")
+        if still.count() > LISTED:
+            return _joined(nodes, full, masks, subs, parts, max_distance, cap)
+        then = still.toArrow()
+        known = Full(known.buckets, then.column("cut").to_numpy().view(U64), -(-then.column("count").to_numpy() * rate // cap))
+    shared = spark.sparkContext.broadcast(known)
+    words = -(-tables // 64) if got.num_rows else 0
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        where = shared.value
         for batch in batches:
             base = np.stack([c.to_numpy() for c in batch.columns], 1)
             fp = np.ascontiguousarray(base[:, 1:5]).view(U64)
-            every = []
+            n = len(base)
+            keys = [bucket(fp, masks[t]) ^ U64(t) for t in range(tables)]
+            over = np.stack([where.has(_ident(t, 0, keys[t])) for t in range(tables)], 1)
+            if words:
+                flags = np.zeros((n, words * 64), np.uint8)
+                flags[:, :tables] = over
+                base = np.column_stack([base, np.packbits(flags, axis=1, bitorder="little").view(np.int64)])
+            rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
             for t in range(tables):
-                key = bucket(fp, masks[t]) ^ U64(t)
-                every.append(np.column_stack([np.full(len(base), t), key.view(np.int64), base]))
-            table = np.concatenate(every)
-            part = (mix(table[:, 1].view(U64) + U64(5)) % U64(parts)).astype(np.int64)
+                plain, cut = np.flatnonzero(~over[:, t]), np.flatnonzero(over[:, t])
+                rows.append((np.full(len(plain), t), keys[t][plain], plain))
+                for m in range(len(subs)) if len(cut) else ():
+                    key = mix(keys[t][cut] ^ bucket(fp[cut], subs[m])) + U64(m)
+                    chunks = where.parts(_ident(t, m, key))
+                    code = t | m << 16
+                    whole = np.flatnonzero(chunks == 0)
+                    rows.append((np.full(len(whole), code), key[whole], cut[whole]))
+                    # what more bits don't cut is compared in tiles: chunk x of the bucket meets chunk y
+                    tiled = np.flatnonzero(chunks)
+                    if len(tiled):
+                        k = chunks[tiled]
+                        mine = (mix(base[cut[tiled], 0].view(U64) + U64(7)) % k.astype(U64)).astype(np.int64)
+                        at = np.repeat(np.arange(len(tiled)), k)
+                        other = np.arange(len(at)) - np.repeat(np.cumsum(k) - k, k)
+                        low, high = np.minimum(mine[at], other), np.maximum(mine[at], other)
+                        side = np.where(mine[at] == other, 0, np.where(mine[at] < other, 1, 2))
+                        rows.append((code | side << 32, mix(key[tiled][at] ^ mix((low << 32 | high).astype(U64) + U64(1))), cut[tiled][at]))
+            code, key, at = (np.concatenate(x) for x in zip(*rows))
+            part = (mix(_ident(code & 0xFFFF, code >> 16 & 0xFFFF, key)) % U64(parts)).astype(np.int64)
             order = np.argsort(part, kind="stable")
-            table, bounds = table[order], np.searchsorted(part[order], np.arange(parts + 1))
+            table = np.column_stack([code[order], key[order].view(np.int64), base[at[order]]])
+            bounds = np.searchsorted(part[order], np.arange(parts + 1))
             on = np.flatnonzero(bounds[1:] > bounds[:-1])
             yield pa.RecordBatch.from_arrays([pa.array(on.astype(np.int32)), pa.array([table[bounds[p] : bounds[p + 1]].tobytes() for p in on], pa.binary())], names=["part", "pack"])
 
@@ -328,17 +364,64 @@ def _links(nodes: DataFrame, scratch: Scratch, max_distance: int, cap: int, more
         by: dict[int, list[np.ndarray]] = {}
         for batch in batches:
             for p, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                by.setdefault(p, []).append(np.frombuffer(x, np.int64).reshape(-1, 8))
+                by.setdefault(p, []).append(np.frombuffer(x, np.int64).reshape(-1, 8 + words))
         for p in list(by):
             t = np.concatenate(by.pop(p))
-            none = np.zeros(len(t), np.int64)
-            col = {"table": t[:, 0], "group": np.ascontiguousarray(t[:, 1]), "node": t[:, 2], "weight": t[:, 7], "sub": none, "side": none}
-            yield found(col, np.ascontiguousarray(t[:, 3:7]).view(U64), np.zeros((len(t), 1), bool))
-
-    ddl = "node long, links long, root long"
-    if cut:
-        return rows.repartition(parts, "table", "sub", "group").mapInArrow(run, ddl)
-    return nodes.select("node", *_FP, "weight").mapInArrow(pack, "part int, pack binary").repartition(parts, "part").mapInArrow(unpack, ddl)
+            big = np.unpackbits(np.ascontiguousarray(t[:, 8:]).view(np.uint8), axis=1, bitorder="little")[:, :tables].astype(bool) if words else np.zeros((len(t), 1), bool)
+            col = {"table": t[:, 0] & 0xFFFF, "sub": t[:, 0] >> 16 & 0xFFFF, "side": t[:, 0] >> 32, "group": np.ascontiguousarray(t[:, 1]), "node": t[:, 2], "weight": t[:, 7]}
+            yield _result(col, np.ascontiguousarray(t[:, 3:7]).view(U64), big, masks, subs, max_distance)
+
+    return nodes.select("node", *_FP, "weight").mapInArrow(pack, "part int, pack binary").repartition(parts, "part").mapInArrow(unpack, _LINKS)
+
+
+def _joined(nodes: DataFrame, full: DataFrame, masks: np.ndarray, subs: np.ndarray, parts: int, max_distance: int, cap: int) -> DataFrame:
+    """``_links`` where the oversized buckets are too many to be sent to all: they are joined to the candidates, row by row."""
+    tables = len(masks)
+    rows = _candidates(nodes, masks)
+    rows = rows.withColumn("sub", F.lit(0)).withColumn("side", F.lit(0))
+    hit = rows.join(full.select("table", "group", F.lit(True).alias("over")), ["table", "group"], "left")
+    flags = hit.where("over").groupBy("node").agg(F.sort_array(F.collect_set("table")).alias("big"))
+    hit = hit.join(flags, "node", "left")
+    every = F.array(*(F.lit(m) for m in range(len(subs))))
+    wide = hit.where("over").withColumn("sub", F.explode(every))
+
+    def regroup(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = {c: i for i, c in enumerate(batch.schema.names)}
+            fp = np.stack([batch.column(at[c]).to_numpy() for c in _FP], 1).view(U64)
+            sub = batch.column(at["sub"]).to_numpy()
+            key = batch.column(at["group"]).to_numpy().view(U64)
+            for m in np.unique(sub):
+                on = sub == m
+                key = np.where(on, mix(key ^ bucket(fp, subs[m])) + U64(m), key)
+            yield batch.set_column(at["group"], "group", pa.array(key.view(np.int64)))
+
+    columns = ["table", "group", "node", *_FP, "weight", "sub", "side", "big"]
+    wide = wide.select(columns)
+    wide = wide.mapInArrow(regroup, wide.schema)
+    # what more bits don't cut is compared in tiles: chunk x of the bucket meets chunk y
+    still = wide.groupBy("table", "sub", "group").count().where(F.col("count") > cap).select("table", "sub", "group", F.ceil(F.col("count") / cap).cast("int").alias("chunks"))
+    wide = wide.join(still, ["table", "sub", "group"], "left")
+    mine = F.pmod(F.xxhash64("node", F.lit(7)), F.col("chunks")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
+    tiled = wide.where("chunks IS NOT NULL").withColumn("mine", mine).withColumn("other", other)
+    tiled = tiled.withColumn("side", F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2))
+    tiled = tiled.withColumn("group", F.xxhash64("group", F.least("mine", "other"), F.greatest("mine", "other")))
+    rows = hit.where("over IS NULL").select(columns).unionByName(wide.where("chunks IS NULL").select(columns)).unionByName(tiled.select(columns))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [b for b in batches if b.num_rows]
+        if not got:
+            return
+        t = pa.Table.from_batches(got)
+        col = {c: t.column(c).to_numpy() for c in ("node", "weight", "table", "sub", "group", "side")}
+        fp = np.stack([t.column(c).to_numpy() for c in _FP], 1).view(U64)
+        big = np.zeros((t.num_rows, tables), bool)
+        for i, some in enumerate(t.column("big").to_pylist()):
+            big[i, some or []] = True
+        yield _result(col, fp, big, masks, subs, max_distance)
+
+    return rows.repartition(parts, "table", "sub", "group").mapInArrow(run, _LINKS)
 
 
 def _grouped(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, max_distance: int, cap: int, more: int) -> tuple[DataFrame, DataFrame]:
