@@ -49,8 +49,8 @@ SHORT = 20
 SENT = 1 << 17
 #: Nodes that hang together and are compared within one task, at most.
 FAMILY = 20_000
-#: Bytes of input for each part of the bands, at most.
-PART = 128 << 20
+#: Bytes of input for each task of the bands, at most, and its parts: so many that tasks get about equal numbers of them.
+PART, SPREAD = 128 << 20, 16
 #: Bits of the filter of nodes whose texts are fetched: its size doesn't grow with the data.
 FILTER_BITS = 26
 
@@ -221,7 +221,7 @@ def _tables(docs: DataFrame, id_col: str, text_col: str, parts: int) -> DataFram
 
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("row"), F.pmod(F.xxhash64(id_col, text_col), F.lit(1 << 31)).alias("spread"))
     sent = source.mapInArrow(run, f"part int, kind tinyint, id {kind}, row long, line int, x long, y long, pack binary")
-    return sent.repartition(parts, "part").mapInArrow(meet, f"id {kind}, row long, line int, x long, y long, kind tinyint")
+    return sent.repartition(parts // SPREAD, "part").mapInArrow(meet, f"id {kind}, row long, line int, x long, y long, kind tinyint")
 
 
 def _filter(nodes: DataFrame) -> np.ndarray:
@@ -429,8 +429,8 @@ def _large_families(members: DataFrame, texts: DataFrame, near: float, scratch:
 def _decided(docs: DataFrame, id_col: str, text_col: str, near: float, family: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """The tables of ``_tables``, and (id, row, removed, kept_in) of the texts that lose lines."""
     tune(docs.sparkSession)
-    # what meets in one task stays in its memory: the parts grow with the input
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), input_bytes(docs) // PART)
+    # what meets in one task stays in its memory: the tasks grow with the input
+    parts = SPREAD * max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), input_bytes(docs) // PART)
     t = scratch.cut(_tables(docs, id_col, text_col, parts), "lines", "kind")
     families = scratch.cut(components(t.where("kind = 5").select(F.col("x").alias("a"), F.col("y").alias("b")), scratch).withColumnRenamed("component", "family"), "families")
     large = scratch.cut(families.groupBy("family").count().where(F.col("count") > family).select("family"), "large")
