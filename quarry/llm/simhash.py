@@ -46,6 +46,8 @@ CAP = 4096
 MORE = 8
 #: Oversized buckets whose numbers are sent to all tasks, at most: 8 bytes each.
 LISTED = 1 << 20
+#: Packs for each task: so many that tasks get about equal numbers of them.
+SPREAD = 16
 #: Rows of candidates in one task, about.
 TASK_ROWS = 200_000
 
@@ -353,10 +355,10 @@ def _links(nodes: DataFrame, scratch: Scratch, max_distance: int, cap: int, more
                         side = np.where(mine[at] == other, 0, np.where(mine[at] < other, 1, 2))
                         rows.append((code | side << 32, mix(key[tiled][at] ^ mix((low << 32 | high).astype(U64) + U64(1))), cut[tiled][at]))
             code, key, at = (np.concatenate(x) for x in zip(*rows))
-            part = (mix(_ident(code & 0xFFFF, code >> 16 & 0xFFFF, key)) % U64(parts)).astype(np.int64)
+            part = (mix(_ident(code & 0xFFFF, code >> 16 & 0xFFFF, key)) % U64(SPREAD * parts)).astype(np.int64)
             order = np.argsort(part, kind="stable")
             table = np.column_stack([code[order], key[order].view(np.int64), base[at[order]]])
-            bounds = np.searchsorted(part[order], np.arange(parts + 1))
+            bounds = np.searchsorted(part[order], np.arange(SPREAD * parts + 1))
             on = np.flatnonzero(bounds[1:] > bounds[:-1])
             yield pa.RecordBatch.from_arrays([pa.array(on.astype(np.int32)), pa.array([table[bounds[p] : bounds[p + 1]].tobytes() for p in on], pa.binary())], names=["part", "pack"])
 
