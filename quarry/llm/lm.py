@@ -40,6 +40,8 @@ from .store import Scratch, tune
 
 HEAD, VOCAB, SIZE = 1 << 18, 1024, 32
 TRAINED, TRAINERS = 1 << 21, 4
+#: Words whose contexts are looked for repeats together, when scored.
+SCORED = 1 << 18
 #: Rows of parameters that are averaged together.
 AVERAGED = 1 << 9
 #: Tokens of one task that are counted together before they are sent, about.
@@ -109,6 +111,19 @@ class Head:
         return out
 
 
+class Room:
+    """Arrays of 32-bit numbers that are used again, by name: fresh ones of this size cost more than what is done in them."""
+
+    def __init__(self):
+        self.held: dict[str, np.ndarray] = {}
+
+    def __call__(self, name: str, *shape: int) -> np.ndarray:
+        size = math.prod(shape)
+        if name not in self.held or len(self.held[name]) < size:
+            self.held[name] = np.empty(size + size // 4, np.float32)
+        return self.held[name][:size].reshape(shape)
+
+
 class Model:
     """Vectors of the context (the vocabulary, the rest, before the text), of the classes and of the words in them."""
 
@@ -160,6 +175,7 @@ class Model:
         cum_class, cum_word = np.cumsum(self.class_noise), np.append(0, np.cumsum(self.noise))
         alone = np.diff(self.first) == 1
         place = np.empty((2, SIZE, SIZE), np.float32)
+        room = Room()
 
         def step(k: str, grad: np.ndarray, rows: np.ndarray | slice = slice(None)) -> None:
             param, p = getattr(self, k), past[k]
@@ -171,73 +187,121 @@ class Model:
             q *= rate
             param[rows] -= q
 
-        def summed(at: np.ndarray, grad: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            """The rows in ``at``, once each, with the sums of their gradients."""
-            # numbers of 16 bits are sorted by radix
-            order = np.argsort(at.astype(np.uint16) if at_class <= 1 << 15 else at, kind="stable")
-            at = at[order]
-            starts = heads(at)
-            return at[starts], np.add.reduceat(grad.take(order, axis=0), starts, axis=0)
-
         def heads(x: np.ndarray) -> np.ndarray:
             return np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
 
+        def sort(x: np.ndarray) -> np.ndarray:
+            # numbers of 16 bits are sorted by radix
+            return np.argsort(x.astype(np.uint16), kind="stable") if at_class <= 1 << 15 else np.argsort(x)
+
+        def runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+            """The order that sorts x, where each value's run begins in it, the values, and which of them each of x is."""
+            turn = sort(x)
+            x = x[turn]
+            firsts = heads(x)
+            which = np.empty(len(x), np.int64)
+            which[turn] = np.repeat(np.arange(len(firsts)), np.diff(np.append(firsts, len(x))))
+            return turn, firsts, x[firsts], which
+
+        def chances(x: np.ndarray) -> np.ndarray:
+            """1 / (1 + exp(x)), in place."""
+            np.exp(x, out=x)
+            x += 1
+            return np.reciprocal(x, out=x)
+
         for _ in range(epochs):
             order = rng.permutation(len(word))
             for lo in range(0, len(order), batch):
                 at = order[lo : lo + batch]
-                at = at[np.argsort(word[at])]
+                at = at[sort(word[at])]
                 a, b, w = one[at], two[at], word[at]
                 n = np.float32(len(at))
                 h = np.ones((len(at), SIZE + 1), np.float32)
-                before = self.context.take(a, axis=0), self.context.take(b, axis=0)
-                h[:, :-1] = before[0] @ self.place[0] + before[1] @ self.place[1]
+                # a context word's vector goes through its matrix once a batch
+                sides = [runs(a), runs(b)]
+                before = [self.context.take(x, axis=0) for _, _, x, _ in sides]
+                h[:, :-1] = (before[0] @ self.place[0]).take(sides[0][3], axis=0)
+                h[:, :-1] += (before[1] @ self.place[1]).take(sides[1][3], axis=0)
                 c = self.of[w]
                 starts = heads(c)
                 present = c[starts]
-                # the classes, against noise classes that all rows share
-                x = np.minimum(np.searchsorted(cum_class, rng.random(noise)), len(cum_class) - 1)
+                # the classes, against noise classes that all rows share; one drawn several times is scored once
+                drawn = np.bincount(np.minimum(np.searchsorted(cum_class, rng.random(noise)), len(cum_class) - 1), minlength=len(self.classes))
+                x = np.flatnonzero(drawn)
+                times = drawn[x].astype(np.float32)[:, None]
                 own, other = self.classes.take(c, axis=0), self.classes[x]
-                gs = -1 / (1 + np.exp(np.einsum("ij,ij->i", h, own) - log_class[c]))
-                gt = 1 / (1 + np.exp(log_class[x] - h @ other.T))
-                gh = gs[:, None] * own + gt @ other
-                rows, g = summed(np.concatenate([present, x]), np.concatenate([np.add.reduceat(gs[:, None] * h, starts, axis=0), gt.T @ h]))
+                gs = np.einsum("ij,ij->i", h, own)
+                gs -= log_class[c]
+                gs = -chances(gs)
+                # the bias of a row of h is 1, so a bias takes the logarithm of the noise along
+                against = -other
+                against[:, -1] += log_class[x]
+                gt = chances(np.matmul(h, against.T, out=room("classes", len(at), len(x))))
+                other *= times
+                gh = np.matmul(gt, other, out=room("gh", *h.shape))
+                own *= gs[:, None]
+                gh += own
+                g = np.zeros_like(self.classes)
+                g[present] = np.add.reduceat(np.multiply(gs[:, None], h, out=own), starts, axis=0)
+                g[x] += times * (gt.T @ h)
+                drawn[present] += 1
+                rows = np.flatnonzero(drawn)
+                g = g[rows]
                 g /= n
                 step("classes", g, rows)
                 uses[at_class + rows] += 1
-                # the words, against noise words that all rows of their class share
-                own = self.words.take(w, axis=0)
-                gs = -1 / (1 + np.exp(np.einsum("ij,ij->i", h, own) - log_word[w]))
-                gs[alone[c]] = 0
-                gh += gs[:, None] * own
-                firsts = heads(w)
-                keep = ~alone[c[firsts]]
-                grads, rows = [np.add.reduceat(gs[:, None] * h, firsts, axis=0)[keep]], [w[firsts][keep]]
-                ends = np.append(starts[1:], len(c))
+                # the words, against noise words that all rows of their class share; a class's words, drawn or its rows' own, are scored once
                 several = np.flatnonzero(~alone[present])
                 if len(several):
-                    low, high = cum_word[self.first[present[several]]][:, None], cum_word[self.first[present[several] + 1]][:, None]
-                    x = np.searchsorted(cum_word, low + (high - low) * rng.random((len(several), noise)), "right") - 1
-                    x = np.clip(x, self.first[present[several]][:, None], self.first[present[several] + 1][:, None] - 1)
-                    other, log = self.words.take(x, axis=0), log_word[x]
-                    for k, i, j in zip(range(len(several)), starts[several].tolist(), ends[several].tolist()):
-                        hk, ok = h[i:j], other[k]
-                        t = hk @ ok.T
-                        np.subtract(log[k], t, out=t)
-                        np.exp(t, out=t)
-                        t += 1
-                        np.reciprocal(t, out=t)
-                        gh[i:j] += t @ ok
-                        grads.append(t.T @ hk)
-                    rows.append(x.ravel())
-                rows, g = summed(np.concatenate(rows), np.concatenate(grads))
-                g /= n
-                if len(rows):
+                    k = present[several]
+                    low, high = cum_word[self.first[k]][:, None], cum_word[self.first[k + 1]][:, None]
+                    x = np.searchsorted(cum_word, np.sort(low + (high - low) * rng.random((len(several), noise)), axis=1), "right") - 1
+                    x = np.clip(x, self.first[k][:, None], self.first[k + 1][:, None] - 1)
+                    drawn = np.bincount(x.ravel(), minlength=at_class)
+                    mine = np.flatnonzero(~alone[c])
+                    here = drawn > 0
+                    here[w[mine]] = True
+                    rows = np.flatnonzero(here)
+                    times = drawn[rows].astype(np.float32)
+                    left, right = np.searchsorted(rows, self.first[k]), np.searchsorted(rows, self.first[k + 1])
+                    top, bottom = starts[several], np.append(starts[1:], len(c))[several]
+                    other = self.words.take(rows, axis=0)
+                    against = -other
+                    against[:, -1] += log_word[rows]
+                    cells = np.append(0, np.cumsum((right - left) * (bottom - top)))
+                    t = room("words", int(cells[-1]))
+                    own[:] = 0
+                    parts = [(h[i:j], own[i:j], t[u:v].reshape(j - i, r - q), q, r) for i, j, q, r, u, v in zip(*(y.tolist() for y in (top, bottom, left, right, cells[:-1], cells[1:])))]
+                    for hk, _, tk, q, r in parts:
+                        np.matmul(hk, against[q:r].T, out=tk)
+                    chances(t)
+                    # where each row's own word is: its score counts as one more, less what a right word has
+                    wide = np.repeat(right - left, bottom - top)
+                    begin = np.repeat(cells[:-1] - left, bottom - top) + (np.arange(len(mine)) - np.repeat(np.cumsum(bottom - top) - (bottom - top), bottom - top)) * wide
+                    own_at = begin + np.searchsorted(rows, w[mine])
+                    gs = t[own_at] - 1
+                    g = np.empty_like(other)
+                    for _, _, tk, q, r in parts:
+                        tk *= times[q:r]
+                    t[own_at] += gs
+                    for hk, gk, tk, q, r in parts:
+                        np.matmul(tk, other[q:r], out=gk)
+                        np.matmul(tk.T, hk, out=g[q:r])
+                    gh += own
+                    g /= n
                     step("words", g, rows)
                     uses[rows] += 1
                 gh = gh[:, :-1] / n
-                place[0], place[1] = before[0].T @ gh, before[1].T @ gh
-                rows, g = summed(np.concatenate([a, b]), np.concatenate([gh @ self.place[0].T, gh @ self.place[1].T]))
+                here = np.zeros(len(self.context), bool)
+                for _, _, x, _ in sides:
+                    here[x] = True
+                rows = np.flatnonzero(here)
+                g = np.zeros((len(rows), SIZE), np.float32)
+                for i, (turn, firsts, x, _) in enumerate(sides):
+                    # two columns at once, as the parts of a complex number
+                    own = np.add.reduceat(gh.take(turn, axis=0).view(np.complex64), firsts, axis=0).view(np.float32)
+                    place[i] = before[i].T @ own
+                    g[np.searchsorted(rows, x)] += own @ self.place[i].T
                 step("context", g, rows)
                 uses[at_context + rows] += 1
                 step("place", place)
@@ -245,31 +309,45 @@ class Model:
         return past
 
     def log10(self, one: np.ndarray, two: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """log10 probability of each word after its context, normalised over the classes and within the word's class."""
-        order = np.argsort(self.of[word], kind="stable")
-        out = np.empty(len(word))
+        """log10 probability of each word after its context, normalised over the classes and within the word's class; a context, and a word after it, is computed once in SCORED words."""
+        room, ones = Room(), np.ones(max(len(self.classes), int(np.diff(self.first).max())), np.float32)
+
+        def logs(h: np.ndarray, rows: np.ndarray, at: np.ndarray, w: np.ndarray) -> np.ndarray:
+            """Log-probability among ``rows``, after the vectors ``h``: of ``w`` after ``h[at]``."""
+            x = np.matmul(h, rows.T, out=room("scores", len(h), len(rows)))
+            own = x[at, w]
+            with np.errstate(over="ignore"):
+                np.exp(x, out=x)
+                total = x @ ones[: len(rows)]
+            if not ((total > 1e-30) & (total < 1e30)).all():
+                np.matmul(h, rows.T, out=x)
+                most = x.max(1)
+                x -= most[:, None]
+                np.exp(x, out=x)
+                return (own - most[at]) - np.log(x @ ones[: len(rows)])[at]
+            return own - np.log(total)[at]
 
-        def among(h: np.ndarray, rows: np.ndarray, w: np.ndarray) -> np.ndarray:
-            x = h @ rows[:, :-1].T
-            x += rows[:, -1]
-            x -= x.max(1)[:, None]
-            own = x[np.arange(len(w)), w]
-            np.exp(x, out=x)
-            return own - np.log(x.sum(1))
-
-        for lo in range(0, len(word), 1 << 15):
-            at = order[lo : lo + (1 << 15)]
-            w = word[at]
+        out = np.empty(len(word))
+        for lo in range(0, len(word), SCORED):
+            part = slice(lo, lo + SCORED)
+            context, after = np.unique(one[part].astype(np.int64) * len(self.context) + two[part], return_inverse=True)
+            pair, which = np.unique(after * len(self.words) + word[part], return_inverse=True)
+            after, w = np.divmod(pair, len(self.words))
             c = self.of[w]
-            h = self.vectors(one[at], two[at])
-            got = np.concatenate([among(h[i : i + 4096], self.classes, c[i : i + 4096]) for i in range(0, len(w), 4096)])
-            cut = np.append(np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]])), len(c))
-            for i, j in zip(cut[:-1].tolist(), cut[1:].tolist()):
-                f, e = int(self.first[c[i]]), int(self.first[c[i] + 1])
-                for q in range(i, j if e - f > 1 else i, 4096):
-                    r = min(q + 4096, j)
-                    got[q:r] += among(h[q:r], self.words[f:e], w[q:r] - f)
-            out[at] = got
+            h = np.ones((len(context), SIZE + 1), np.float32)
+            h[:, :-1] = self.vectors(*np.divmod(context, len(self.context)))
+            got = np.empty(len(pair), np.float32)
+            cut = np.searchsorted(after, np.arange(0, len(context) + 4096, 4096))
+            for k, (i, j) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist())):
+                got[i:j] = logs(h[k * 4096 : (k + 1) * 4096], self.classes, after[i:j] - k * 4096, c[i:j])
+            order = np.argsort(c, kind="stable")
+            cut = np.searchsorted(c[order], np.arange(len(self.classes) + 1))
+            for k in np.flatnonzero((np.diff(cut) > 0) & (np.diff(self.first) > 1)).tolist():
+                f, e = int(self.first[k]), int(self.first[k + 1])
+                for q in range(int(cut[k]), int(cut[k + 1]), 4096):
+                    at = order[q : min(q + 4096, cut[k + 1])]
+                    got[at] += logs(h.take(after[at], axis=0), self.words[f:e], np.arange(len(at)), w[at] - f)
+            out[part] = got[which]
         return out / np.log(10)
 
 

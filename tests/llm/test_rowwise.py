@@ -479,6 +479,87 @@ def test_language_model_learns_all_texts(spark):
     assert lm.fit(wide, F.lit(True), counts).model.rest == 1105
 
 
+def drawn_words(seed):
+    """Counts, and words with their contexts, some of them again and again."""
+    rng = np.random.default_rng(seed)
+    counts = np.sort(rng.zipf(1.3, 900).clip(max=10**4))[::-1]
+    m = lm.Model(counts, float(counts.sum()) * 1.2, 1200)
+    word = rng.choice(901, 700, p=m.noise)
+    return m, *lm.contexts(word, np.array([0, 1, 400, 700]), m.start), word
+
+
+def test_language_model_step_matches_plain_sums():
+    """One step on a batch, gradients row by row and draw by draw."""
+    m, one, two, word = drawn_words(3)
+    rng, noise, size = np.random.default_rng(9), 8, lm.SIZE
+    m.words[:, :-1], m.classes[:, :-1] = (np.random.default_rng(4).standard_normal((len(x), size)) * 0.3 for x in (m.words, m.classes))
+    old = {k: getattr(m, k).astype(np.float64) for k in ("words", "classes", "context", "place")}
+    grad = {k: np.zeros_like(x) for k, x in old.items()}
+    rng.permutation(len(word))
+    classes = np.searchsorted(np.cumsum(m.class_noise), rng.random(noise)).clip(max=len(m.classes) - 1)
+    cum = np.append(0, np.cumsum(m.noise))
+    several = [c for c in np.unique(m.of[word]) if m.first[c + 1] - m.first[c] > 1]
+    inside = {c: (np.searchsorted(cum, cum[m.first[c]] + (cum[m.first[c + 1]] - cum[m.first[c]]) * u, "right") - 1).clip(m.first[c], m.first[c + 1] - 1) for c, u in zip(several, rng.random((len(several), noise)))}
+    assert any(len(set(x)) < noise for x in inside.values()) and len(several) < len(np.unique(m.of[word]))
+    used = {"words": set(), "classes": set(), "context": set()}
+    for a, b, w in zip(one, two, word):
+        h = np.append(old["context"][a] @ old["place"][0] + old["context"][b] @ old["place"][1], 1)
+        gh = np.zeros(size + 1)
+        c = m.of[w]
+        pairs = [("classes", c, m.class_noise[c], 1), *(("classes", x, m.class_noise[x], 0) for x in classes)]
+        if c in inside:
+            pairs += [("words", w, m.noise[w] / m.class_noise[c], 1), *(("words", x, m.noise[x] / m.class_noise[c], 0) for x in inside[c])]
+        for k, row, p, right in pairs:
+            g = 1 / (1 + np.exp(np.log(noise * p) - h @ old[k][row])) - right
+            gh += g * old[k][row]
+            grad[k][row] += g * h
+            used[k].add(int(row))
+        for i, x in enumerate((a, b)):
+            grad["context"][x] += old["place"][i] @ gh[:-1]
+            grad["place"][i] += np.outer(old["context"][x], gh[:-1])
+            used["context"].add(int(x))
+    uses = m.fit(one, two, word, noise=noise)["uses"]
+    for k, x in grad.items():
+        x /= len(word)
+        want = old[k] - 0.07 * x / np.sqrt(1e-6 + x * x)
+        assert np.allclose(getattr(m, k), want, atol=2e-3), k
+    parts = np.split(uses, np.cumsum([len(m.words), len(m.classes), len(m.context)]))
+    assert [set(np.flatnonzero(x).tolist()) for x in parts[:3]] == [used["words"], used["classes"], used["context"]]
+
+
+def test_language_model_works_on_whole_batches(monkeypatch):
+    """The work of a training step isn't done class by class, and what is scored again isn't computed again."""
+    m, one, two, word = drawn_words(5)
+    seen: list[int] = []
+    exp = np.exp
+    monkeypatch.setattr(np, "exp", lambda x, *a, **k: (seen.append(np.size(x)), exp(x, *a, **k))[1])
+    m.fit(one, two, word)
+    assert len(m.classes) > 20 and len(seen) <= 4
+    # a draw again, or a draw of a row's own word, has no number of its own
+    assert sum(seen) < len(word) * (1 + 64 + 64)
+    seen.clear()
+    once = m.log10(one, two, word)
+    cost = sum(seen)
+    seen.clear()
+    again = m.log10(*(np.tile(x, 50) for x in (one, two, word)))
+    assert sum(seen) == cost and (again == np.tile(once, 50)).all()
+
+
+def test_language_model_scores_beyond_the_range_of_numbers():
+    m, one, two, word = drawn_words(6)
+    for scale in (1, 300):
+        m.words[:, -1] *= scale
+        m.classes[:, -1] *= scale
+        got = m.log10(one, two, word)
+        at = np.arange(0, 700, 7)
+        for i in at.tolist():
+            c = m.of[word[i]]
+            h = m.vectors(one[i : i + 1], two[i : i + 1])[0].astype(float)
+            among, within = (x[:, :-1] @ h + x[:, -1].astype(float) for x in (m.classes, m.words[m.first[c] : m.first[c + 1]]))
+            want = among[c] - among.max() - np.log(np.exp(among - among.max()).sum()) + within[word[i] - m.first[c]] - within.max() - np.log(np.exp(within - within.max()).sum())
+            assert abs(got[i] - want / np.log(10)) <= 1e-4 * (1 + abs(want))
+
+
 def test_classes_hold_all_words_once():
     counts = np.sort(np.random.default_rng(2).zipf(1.3, 3000).clip(max=10**6))[::-1]
     m = lm.Model(counts, float(counts.sum()) + 50, 3100)
