@@ -50,6 +50,10 @@ LISTED = 1 << 20
 SPREAD = 16
 #: Rows of candidates in one task, about.
 TASK_ROWS = 200_000
+#: Verified pairs that a task holds at once, about; links between nodes of its groups that it holds before they become roots.
+HELD, LINKED = 1 << 18, 1 << 18
+#: Candidates that a task packs at once, about.
+PACKED = 1 << 20
 
 _FOLD = lower_ascii()
 _FOLD[[b for b in range(128) if not (48 <= b < 58 or 65 <= b < 91 or 97 <= b < 123)]] = 0
@@ -148,6 +152,7 @@ def _pairs(group: np.ndarray, side: np.ndarray, fp: np.ndarray, most: int) -> It
         step += 1
     words = [np.ascontiguousarray(fp[:, k]) for k in range(4)]
     held: list[tuple[np.ndarray, np.ndarray]] = []
+    waiting = 0
     for s, m in zip(start[~small].tolist(), size[~small].tolist()):
         rows = max(1, (1 << 17) // m)
         for a in range(s, s + m, rows):
@@ -160,9 +165,11 @@ def _pairs(group: np.ndarray, side: np.ndarray, fp: np.ndarray, most: int) -> It
             i, j = i[ok] + a, j[ok] + a
             ok = (side[i] == 0) | (side[i] != side[j])
             held.append((i[ok], j[ok]))
-        if len(held) > 256:
-            yield tuple(np.concatenate(x) for x in zip(*held))
-            held = []
+            waiting += np.count_nonzero(ok)
+            # a dense group has as many pairs as the square of its nodes: they go on as they come
+            if waiting > HELD or len(held) > 256:
+                yield tuple(np.concatenate(x) for x in zip(*held))
+                held, waiting = [], 0
     if held:
         yield tuple(np.concatenate(x) for x in zip(*held))
 
@@ -177,12 +184,26 @@ def match(node: np.ndarray, fp: np.ndarray, weight: np.ndarray, table: np.ndarra
     node, fp, weight, table, sub, group, side, big = (x[order] for x in (node, fp, weight, table, sub, group, side, big))
     ids, who = np.unique(node, return_inverse=True)
     links = np.zeros(len(ids), np.int64)
+    every, up = np.arange(len(ids)), np.arange(len(ids))
+    on = np.zeros(len(ids), bool)
     a, b = [], []
+    linked = 0
+
+    def joined() -> np.ndarray:
+        # what is known already is an edge from each node to its root
+        return roots(len(ids), np.concatenate([every[up != every], *a]), np.concatenate([up[up != every], *b]))
+
     for i, j in _pairs(group, side, fp, most):
         if not len(i):
             continue
-        a.append(who[i])
-        b.append(who[j])
+        on[who[i]] = on[who[j]] = True
+        apart = up[who[i]] != up[who[j]]
+        a.append(who[i][apart])
+        b.append(who[j][apart])
+        linked += len(a[-1])
+        if linked > LINKED:
+            up = joined()
+            a, b, linked = [], [], 0
         diff = fp[i] ^ fp[j]
         first = np.ones(len(i), bool)
         cut = np.zeros(len(i), bool)
@@ -204,12 +225,7 @@ def match(node: np.ndarray, fp: np.ndarray, weight: np.ndarray, table: np.ndarra
         i, j = i[first], j[first]
         np.add.at(links, who[i], weight[j])
         np.add.at(links, who[j], weight[i])
-    if not a:
-        return ids[:0], links[:0], ids[:0]
-    a, b = np.concatenate(a), np.concatenate(b)
-    up = roots(len(ids), a, b)
-    on = np.zeros(len(ids), bool)
-    on[a] = on[b] = True
+    up = joined()
     return ids[on], links[on], ids[up[on]]
 
 
@@ -324,12 +340,17 @@ def _links(nodes: DataFrame, scratch: Scratch, max_distance: int, cap: int, more
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         where = shared.value
-        for batch in batches:
-            base = np.stack([c.to_numpy() for c in batch.columns], 1)
+        tiles = len(subs) * int(where.chunks.max(initial=1))
+        todo: list[np.ndarray] = []
+        while todo or (batch := next(batches, None)) is not None:
+            base = todo.pop() if todo else np.stack([c.to_numpy() for c in batch.columns], 1)
             fp = np.ascontiguousarray(base[:, 1:5]).view(U64)
             n = len(base)
             keys = [bucket(fp, masks[t]) ^ U64(t) for t in range(tables)]
             over = np.stack([where.has(_ident(t, 0, keys[t])) for t in range(tables)], 1)
+            if n > 1 and n * tables + np.count_nonzero(over) * tiles > PACKED:
+                todo += [base[n // 2 :], base[: n // 2]]
+                continue
             if words:
                 flags = np.zeros((n, words * 64), np.uint8)
                 flags[:, :tables] = over

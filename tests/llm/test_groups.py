@@ -6,6 +6,7 @@ import functools
 import hashlib
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -135,6 +136,29 @@ def test_packed_candidates(spark):
     assert len(got) == len(set(got)) and set(got) == want and want
 
 
+def test_dense_groups_are_bounded(monkeypatch):
+    """A group of near copies has as many links as the square of its nodes; they are counted, not kept."""
+    rng = np.random.default_rng(2)
+    n = 2500
+    flips = np.zeros((n, simhash.BITS), np.uint8)
+    for row in flips:
+        row[rng.choice(simhash.BITS, 12, replace=False)] = 1
+    fp = np.packbits(flips, axis=1).view(np.uint64)
+    none, masks = np.zeros(n, np.int64), simhash.sampled(3, 10, 1)
+    tracemalloc.start()
+    node, links, root = simhash.match(np.arange(n), fp, none + 1, none, none, none.view(np.uint64), none, np.zeros((n, 3), bool), masks, masks, 40)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(node) == n and (links == n - 1).all() and not root.any()
+    assert peak < 100 << 20  # 3.1 million links
+    monkeypatch.setattr(simhash, "LINKED", 10)
+    chain = np.zeros((40, 4), np.uint64)
+    chain[:, 0] = [(1 << i) - 1 for i in range(40)]
+    one = np.zeros(40, np.int64)
+    node, links, root = simhash.match(np.arange(40), chain, one + 1, one, one, one.view(np.uint64), one, np.zeros((40, 3), bool), masks, masks, 1)
+    assert links.tolist() == [1, *[2] * 38, 1] and not root.any()
+
+
 def test_line_bands_at_the_threshold():
     """Lines with scattered one-character edits and a similarity of 0.80 to 0.83 share a band."""
     rng = random.Random(22)
