@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.session import Scratch, released, shared_dir
+from quarry.session import BATCH_BYTES, Scratch, released, shared_dir, tune
 
 __all__ = ["BATCH_BYTES", "MAX_BROADCAST", "Scratch", "crc_mod", "input_bytes", "released", "shared_dir", "table", "tune"]
 
@@ -13,18 +13,6 @@ __all__ = ["BATCH_BYTES", "MAX_BROADCAST", "Scratch", "crc_mod", "input_bytes",
 MAX_BROADCAST = 64 << 20
 
 
-#: Bytes of one Arrow batch: long texts otherwise make batches of any size.
-BATCH_BYTES = 8 << 20
-
-
-def tune(spark: SparkSession) -> None:
-    """Bound the session's Arrow batches by bytes, where they aren't bounded lower already."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = spark.conf.get(key).rstrip("bB")
-    if not now.isdigit() or int(now) > BATCH_BYTES:
-        spark.conf.set(key, str(BATCH_BYTES))
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

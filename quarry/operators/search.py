@@ -23,6 +23,7 @@ from quarry.functions import dialect
 from quarry.functions.linear import compiled
 from quarry.operators.index import Index, candidates
 from quarry.plans import literals
+from quarry.session import tune
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 RANGES = "array<struct<start:long,end:long>>"
@@ -73,6 +74,7 @@ def matching(docs: DataFrame, pattern: str, text_col: str = "text") -> DataFrame
         docs = docs.where(F.col(text_col).contains(literal))
     if in_jvm(pattern):
         return docs.where(F.col(text_col).rlike(dialect.to_java(pattern)))
+    tune(docs.sparkSession)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,6 +115,7 @@ def candidate_docs(docs: DataFrame, pattern: str, index: Index | None, skip_inde
 
 def _ahead(docs: DataFrame, pattern: str, index: Index | None, skip_index: bool, id_col: str, text_col: str) -> DataFrame:
     """(id, text) of the documents that may match: as many as can be told in the JVM."""
+    tune(docs.sparkSession)
     some = candidate_docs(docs.select(id_col, text_col), pattern, index, skip_index, id_col)
     if in_jvm(pattern):
         return matching(some, pattern, text_col)
