@@ -23,13 +23,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
 from quarry.plans.literals import GRAM, PIECES, Plan, grams
-from quarry.session import Scratch
+from quarry.session import Scratch, tune
 
 #: Grams that are looked up for one literal: its rarest.
 LOOKED_UP = 6
 ALL = -1
-#: Characters of one chunk, about.
-CHUNK = 16 << 20
+#: Characters of one chunk, about: a task holds the grams of each document of a chunk.
+CHUNK = 4 << 20
 _BITS = 21
 
 
@@ -93,6 +93,7 @@ def text_grams(text: str) -> np.ndarray:
 
 def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
     """(gram, chunk, ids): each chunk's grams, once, with its documents; null texts are left out."""
+    tune(docs.sparkSession)
     kind = dict(docs.dtypes)[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

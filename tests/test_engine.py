@@ -6,6 +6,7 @@ import os
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from quarry.functions import dialect
 from quarry.operators import corpus, index, order, search, suffixes
@@ -130,6 +131,24 @@ def test_chunks_and_shares(spark, docs, monkeypatch):
     assert sorted(index.rows(small.postings).where("gram = 'nee'").select("doc_id").toPandas().doc_id) == [2, 3, 4]
 
 
+def test_bounded_batches(spark, docs):
+    """Neither searches nor index builds leave the size of Arrow batches to the length of texts."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    for use in (lambda: search.ranges(docs, "n+"), lambda: search.matching(docs, "n+"), lambda: index.postings(docs)):
+        spark.conf.unset(key)
+        use()
+        assert 0 < int(spark.conf.get(key).rstrip("bB")) <= 8 << 20
+
+
+def test_chunk_is_bounded(spark):
+    """A task packs its documents before it holds the grams of many megabytes of them."""
+    long = spark.range(0, 12, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.concat(F.lit("ab"), F.col("id").cast("string")), 300_000).alias("text"))
+    found = index.postings(long)
+    rows = found.where(F.col("gram") == index.ALL).select("chunk", "ids").collect()
+    assert sum((r.ids for r in rows), []) == list(range(12)) and max(len(r.ids) for r in rows) <= 6
+    assert {r.gram: r.df for r in index.frequencies(found).select(index.gram_text(F.col("gram")).alias("gram"), "df").collect() if r.gram in ("ab1", "b10")} == {"ab1": 3, "b10": 1}
+
+
 def test_running_totals(spark):
     """Ids of any type and spread; ties; empty tables."""
     rows = spark.createDataFrame([("b", 2), ("a", 1), ("zz", 7), ("b", 2), ("c", 0)], "k string, n long").repartition(4)
