@@ -92,6 +92,23 @@ def test_suffixes(spark, tmp_path, monkeypatch, key):
     assert none.count() == 0 and tuple(suffixes.lookup(none, docs, "a").first()) == (0, 0)
 
 
+def test_suffixes_by_scan(spark, monkeypatch):
+    """What a table tells of sizes, places and occurrences, told without one."""
+    monkeypatch.setattr(suffixes, "BLOCK", 10)
+    monkeypatch.setattr(suffixes, "build", None)
+    texts = ["Banana bANana", "", None, "aaaa", "éé🎉Éa", "\ud7ff\ue000 ban", "a" * 45 + "b"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    want = sorted((fold(t)[i:].encode(), d, i) for d, t in enumerate(texts) for i in range(len(t or "")))
+    assert tuple(suffixes.facts_of(docs).first()) == (len(want), (len(want) - 1) // 10)
+    for literal in ["", "a", "ANA", "aa", "é", "É", "🎉", "\ue000", "zz", "\U0010ffff", "banana banana", "a" * 45 + "c", "a" * 40]:
+        k = fold(literal).encode()
+        below, there = sum(w[0] < k for w in want), [(d, i) for w, d, i in want if w.startswith(k)]
+        assert tuple(suffixes.lookup_of(docs, literal).first()) == (below, below + len(there)), literal
+        assert sorted(map(tuple, suffixes.adjacent_of(docs, [literal[:1], literal[1:3], literal[3:]]).collect())) == sorted(there), literal
+    none = docs.limit(0)
+    assert tuple(suffixes.facts_of(none).first()) == (0, None) and tuple(suffixes.lookup_of(none, "a").first()) == (0, 0) and not suffixes.adjacent_of(none, ["a"]).count()
+
+
 @pytest.mark.parametrize("pattern", ["(a|b)+c", "(a+)+$", "(?:ab|ba)+", r"\b(?:\w+ )+x", r"(?:a?){30}a{30}"])
 def test_no_text_is_too_much(spark, pattern):
     """A megabyte on which backtracking matchers run out of stack or time."""
